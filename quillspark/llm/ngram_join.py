@@ -8,8 +8,9 @@ overlaps are counted for each fragment apart (equal segments count whole, only d
 for each pair. Nothing is capped, and the result is exact but for 64-bit hash collisions.
 
 Groups of any size are handled without all their pairs. Equal sets fall together first. Documents that share a
-segment are compared with one of them, the hub (smallest id, then largest id); only groups that still hold documents
-of different components go on to pairs, and of those only pairs across components.
+segment are compared with one of them, the hub (smallest id). Only groups that still hold documents of different
+components go on: small ones as pairs across components, large ones by the rarest of finer segments, where enough
+segments are taken that no similar pair is missed.
 
 Defined cases: null or blank texts and null ids have no n-grams or no node and link with nothing (component: the own
 id); a document with fewer than n words has its whole sequence as its only n-gram; repeated ids are one node.
@@ -21,7 +22,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import words as W
@@ -32,6 +33,8 @@ from quillspark.llm.runtime import Scratch, documents, prepare, small
 FRAGMENTS = 64
 #: Sizes of a class differ by at most this factor; each class has its own number of fragments for candidates.
 CLASS_GROWTH = 1.5
+#: Groups of at most so many documents are paired as they are.
+FEW = 16
 
 
 def gram_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -115,6 +118,28 @@ def sketches(n: int, threshold: int):
     return run
 
 
+def fine_keys(n: int, threshold: int):
+    def run(batches):
+        classes = Classes(threshold)
+        for batch in batches:
+            ids, at, need, size, keys = [], [], [], [], []
+            names = batch.column(0).to_pylist()
+            for k, words in W.per_row(batch.column(1), True):
+                grams = gram_set(words, n)
+                sums = np.zeros(len(grams) + 1, W.U)
+                np.cumsum(W.mix(grams, 1), out=sums[1:])
+                most = len(grams) + len(grams) * 100 // threshold
+                for c in classes.of(len(grams)):
+                    count = 4 * classes.most_apart(c) + 2
+                    cuts = fragment_cuts(grams, count)
+                    mixed = W.mix(sums[cuts[1:]] - sums[cuts[:-1]], 4) ^ (np.arange(count, dtype=W.U) << W.U(20)) ^ (W.U(c) << W.U(50))
+                    ids.append(names[k]), at.append(c), size.append(len(grams)), keys.append(W.signed(W.mix(mixed, 5)))
+                    need.append(most * (100 - threshold) // (100 + threshold) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(need, pa.int32()), pa.array(size, pa.int64()), W.lists(keys)], names=["doc_id", "class", "need", "n", "keys"])
+
+    return run
+
+
 def segment_sets(n: int):
     def run(batches):
         for batch in batches:
@@ -139,6 +164,7 @@ def segment_sets(n: int):
 
 
 SKETCH_SQL = "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"
+FINE_SQL = "doc_id long, class int, need int, n long, keys array<long>"
 SETS_SQL = "doc_id long, n long, digests array<long>, counts array<int>, segments array<array<long>>"
 
 
@@ -181,6 +207,24 @@ class Join:
         self.scratch.drop("sets", "judged", "ids")
         return out
 
+    def rarest(self, rest: DataFrame) -> DataFrame:
+        """(key, doc_id, label) of large groups -> the same with keys of finer segments, rarest first, as many as decide.
+
+        Of a class's fine segments a pair can differ in ``need - 1`` at most, so among the ``need`` rarest of each side
+        there is a common one; ``before`` holds the segments that come before it. At a pair's first common one, both have
+        differed in all of these, which ``across`` checks against the sizes. Documents of one group that differ in more
+        than a few places have rarer segments in front.
+        """
+        save = self.scratch.save
+        named = save(rest.select("doc_id", "label").distinct(), "named")
+        texts = self.docs.join(small(named.select("doc_id")), "doc_id", "left_semi")
+        fine = save((texts.dropDuplicates(["doc_id"]) if self.repeated else texts).mapInArrow(fine_keys(self.n, self.t), FINE_SQL), "fine")
+        keys = fine.select("doc_id", "class", "need", "n", F.posexplode("keys").alias("part", "key"))
+        often = save(keys.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "often")
+        order = Window.partitionBy("doc_id", "class").orderBy(F.coalesce("held", F.lit(1)), "key")
+        ranked = keys.join(often, "key", "left").withColumn("at", F.row_number().over(order)).withColumn("before", F.collect_list("part").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+        return ranked.filter("at <= need and held > 1").join(small(named), "doc_id").select("key", "doc_id", "label", "n", "before")
+
     def run(self) -> DataFrame:
         save = self.scratch.save
         sketch = save(self.docs.mapInArrow(sketches(self.n, self.t), SKETCH_SQL), "sketch")
@@ -198,21 +242,15 @@ class Join:
         shared = save(keys.join(hubs.hint("shuffle_hash"), "key"), "shared")
         pairs = save(shared.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
         links = self.verified(pairs)
-        done = pairs
-        for step in ("far", "all"):
-            label = small(components(links, self.scratch))
-            named = shared.join(label, shared.doc_id == label.node, "left").select("key", "doc_id", "far", F.coalesce("label", "doc_id").alias("label"))
-            mixed = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("key")
-            rest = save(named.join(mixed, "key"), "rest")
-            if step == "far":
-                found = rest.filter("doc_id <> far").select(F.col("doc_id").alias("a"), F.col("far").alias("b"))
-            else:
-                found = across(rest)
-            more = save(found.distinct().join(done, ["a", "b"], "left_anti"), "more")
-            if more.limit(1).count() == 0:
-                continue
-            links = save(links.union(self.verified(more)), "all_links")
-            done = save(done.union(more), "done")
+        label = small(components(links, self.scratch))
+        named = shared.join(label, shared.doc_id == label.node, "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+        mixed = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("size")).filter("least < most").select("key", "size")
+        rest = save(named.join(mixed, "key"), "rest")
+        few = rest.filter(f"size <= {FEW}").select("key", "doc_id", "label", F.lit(0).alias("n"), F.array().cast("array<int>").alias("before"))
+        found = across(few.union(self.rarest(rest.filter(f"size > {FEW}"))), self.t)
+        more = save(found.distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+        if more.limit(1).count():
+            links = links.union(self.verified(more))
         links = links.union(copies)
         label = components(links, self.scratch)
         degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
@@ -224,14 +262,21 @@ class Join:
         )
 
 
-def across(rest: DataFrame, members: int = 64) -> DataFrame:
-    """(key, doc_id, label) -> the pairs of a key whose labels differ; large keys are dealt out in salted blocks."""
+def across(rest: DataFrame, threshold: int, members: int = 64) -> DataFrame:
+    """(key, doc_id, label, n, before) -> the pairs of a key whose labels differ; large keys are dealt out in salted blocks.
+
+    Where sizes are given (n > 0), a pair whose segments ``before`` the key are more than its sizes let differ is left out.
+    """
     sized = rest.join(rest.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key").withColumn("blocks", F.least(F.ceil(F.sqrt(F.col("size") / members)), F.lit(256)).cast("int"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = sized.withColumn("own", own).select("key", F.col("own").alias("x"), every.alias("y"), F.col("doc_id").alias("a"), F.col("label").alias("la"))
-    right = sized.withColumn("own", own).select("key", every.alias("x"), F.col("own").alias("y"), F.col("doc_id").alias("b"), F.col("label").alias("lb"))
-    return left.join(right, ["key", "x", "y"]).filter("a < b and la <> lb").select("a", "b")
+    part = lambda x: [F.col(c).alias(f"{c}{x}") for c in ("label", "n", "before")]
+    left = sized.withColumn("own", own).select("key", F.col("own").alias("x"), every.alias("y"), F.col("doc_id").alias("a"), *part("a"))
+    right = sized.withColumn("own", own).select("key", every.alias("x"), F.col("own").alias("y"), F.col("doc_id").alias("b"), *part("b"))
+    allowed = F.floor((F.col("na") + F.col("nb")) * (100 - threshold) / (100 + threshold))
+    on = [left[c] == right[c] for c in ("key", "x", "y")] + [F.expr("a < b"), F.col("labela") != F.col("labelb")]
+    near = (F.col("na") == 0) | (F.size(F.array_union("beforea", "beforeb")) <= allowed)
+    return left.join(right, [*on, near]).select("a", "b")
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:

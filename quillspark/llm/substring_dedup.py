@@ -4,7 +4,8 @@ A window is ``window`` consecutive words of a document. Words are removed that a
 starts in a document with a smaller id. Documents are parsed against reference blocks of earlier documents:
 
 1. Anchors. Every window names one anchor, its least k-gram (k = window / 2); equal windows name equal anchors. The
-   index keeps, for each anchor that two documents share, its first occurrence in the smallest of them.
+   index keeps, for each anchor that two documents share, one occurrence in the smallest of them: the middle one, which
+   in repetitive text has the repetition on both sides.
 2. Reference blocks. Only the blocks of a document that hold indexed occurrences are cut out, with their context, and
    each document is sent the blocks that it shares anchors with, once each.
 3. Factors. From each anchor the match with the block is extended both ways as far as it goes; overlapping extents on
@@ -219,7 +220,8 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     seen = apart.select("doc_id", "f1", F.explode(F.arrays_zip("anchors", "at")).alias("x")).select("doc_id", "f1", F.col("x.anchors").alias("h"), F.col("x.at").alias("p"))
     index = seen.groupBy("h").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").drop("last")
     shared = save(seen.join(index.hint("shuffle_hash"), "h"), "shared")
-    first = shared.filter("doc_id = hub").groupBy("h").agg(F.min(F.struct("p", "f1")).alias("x")).select("h", F.col("x.p").alias("q"), F.col("x.f1").alias("hub_f1"))
+    held = shared.filter("doc_id = hub").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("p", "f1"))).alias("x"))
+    first = held.withColumn("x", F.element_at("x", F.floor(F.size("x") / 2).cast("int") + 1)).select("h", F.col("x.p").alias("q"), F.col("x.f1").alias("hub_f1"))
     located = shared.join(save(first, "first"), "h").filter("not (doc_id = hub and p = q and f1 = hub_f1)")
     own = F.col("doc_id") == F.col("hub")
     pairs = save(

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import sql
+from quillspark.llm.bpe_codec import bpe_encode
 from quillspark.llm.ngram_join import ngram_jaccard_join
 from quillspark.llm.substring_dedup import substring_dedup
 from quillspark.llm.token_counts import token_counts
@@ -31,11 +32,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    written = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1,
         "op2_substring_dedup": op2,
         "op3_token_counts": op3,
+        "op5_bpe_codec": op5,
     }
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import sql
 from quillspark.llm.bpe_codec import bpe_encode
+from quillspark.llm.fingerprints import edited_fingerprints
 from quillspark.llm.ngram_join import ngram_jaccard_join
 from quillspark.llm.substring_dedup import substring_dedup
 from quillspark.llm.token_counts import token_counts
@@ -38,12 +39,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = edited_fingerprints(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1,
         "op2_substring_dedup": op2,
         "op3_token_counts": op3,
         "op5_bpe_codec": op5,
+        "op9_merkle_fingerprints": op9,
     }
 
 

@@ -12,6 +12,7 @@ from quillspark.llm import sql
 from quillspark.llm.bpe_codec import bpe_encode
 from quillspark.llm.fingerprints import edited_fingerprints
 from quillspark.llm.ngram_join import ngram_jaccard_join
+from quillspark.llm.secrets import secret_scan, written
 from quillspark.llm.substring_dedup import substring_dedup
 from quillspark.llm.token_counts import token_counts
 
@@ -44,12 +45,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan(table(spark, sf_dir, "documents")).drop("text")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kinds"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kinds"] != "guess")
+    return out.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1,
         "op2_substring_dedup": op2,
         "op3_token_counts": op3,
         "op5_bpe_codec": op5,
+        "op6_secret_scan": op6,
         "op9_merkle_fingerprints": op9,
     }
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import sql
 from quillspark.llm.bpe_codec import bpe_encode
 from quillspark.llm.fingerprints import edited_fingerprints
+from quillspark.llm.language_id import language_id
 from quillspark.llm.ngram_join import ngram_jaccard_join
 from quillspark.llm.secrets import secret_scan, written
 from quillspark.llm.substring_dedup import substring_dedup
@@ -52,11 +53,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1,
         "op2_substring_dedup": op2,
         "op3_token_counts": op3,
+        "op4_language_id": op4,
         "op5_bpe_codec": op5,
         "op6_secret_scan": op6,
         "op9_merkle_fingerprints": op9,

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import sql
 from quillspark.llm.bpe_codec import bpe_encode
+from quillspark.llm.decontaminate import contamination
 from quillspark.llm.fingerprints import edited_fingerprints
 from quillspark.llm.language_id import language_id
 from quillspark.llm.ngram_join import ngram_jaccard_join
+from quillspark.llm.quality import quality
 from quillspark.llm.secrets import secret_scan, written
 from quillspark.llm.substring_dedup import substring_dedup
 from quillspark.llm.token_counts import token_counts
@@ -57,6 +59,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=5, threshold=0.8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1,
@@ -65,6 +75,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4,
         "op5_bpe_codec": op5,
         "op6_secret_scan": op6,
+        "op7_quality_classifier": op7,
+        "op8_benchmark_decontamination": op8,
         "op9_merkle_fingerprints": op9,
     }
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import sql
 from quillspark.llm.bpe_codec import bpe_encode
+from quillspark.llm.chat_format import format_conversations
 from quillspark.llm.decontaminate import contamination
 from quillspark.llm.fingerprints import edited_fingerprints
 from quillspark.llm.language_id import language_id
@@ -67,6 +68,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=5, threshold=0.8)
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1,
@@ -78,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_classifier": op7,
         "op8_benchmark_decontamination": op8,
         "op9_merkle_fingerprints": op9,
+        "op10_chat_format": op10,
     }
 
 

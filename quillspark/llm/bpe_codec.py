@@ -16,6 +16,7 @@ Defined cases: a null text is empty: no ids, decoded to the empty text; repeated
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -29,27 +30,37 @@ from quillspark.llm.pretokens import pieces, read_file
 from quillspark.llm.runtime import Scratch, documents, prepare
 from quillspark.llm.token_counts import splitter
 
-#: UTF-8 bytes of text in a block (or one longer text), texts in a stored row, and word groups.
+#: The least integer that takes five bytes in a list.
+LONG = 192 + 63 * 256
+#: Characters of text in a block (or one longer text), texts in a stored row, and word groups.
 BLOCK, TOGETHER, GROUPS = 32 << 20, 64, 512
 
 
-def pack(a: np.ndarray, width: int) -> bytes:
-    """Integers below 2**(8 * width), byte planes apart, compressed."""
-    return zstandard.ZstdCompressor(level=3).compress(a.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes())
+def pack(a: np.ndarray) -> bytes:
+    """Integers below 2**32 in one byte (below 192), two, or five, each place in a compressed stream of its own."""
+    a = a.astype(np.uint32, copy=False)
+    first = np.where(a < 192, a, np.where(a < LONG, 192 + ((a - np.uint32(192)) >> np.uint32(8)), 255)).astype(np.uint8)
+    second = ((a[(a >= 192) & (a < LONG)] - np.uint32(192)) & np.uint32(255)).astype(np.uint8)
+    rest = a[a >= LONG].astype("<u4").view(np.uint8).reshape(-1, 4).T
+    done = [zstandard.ZstdCompressor(level=3).compress(x.tobytes()) for x in (first, second, rest)]
+    return struct.pack("<II", *map(len, done[:2])) + b"".join(done)
 
 
-def unpack(data: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 4), np.uint8)
-    out[:, :width] = planes.T
-    return out.reshape(-1).view("<u4")
+def unpack(data: bytes) -> np.ndarray:
+    n, m = struct.unpack("<II", data[:8])
+    first, second, rest = (np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8) for x in (data[8 : 8 + n], data[8 + n : 8 + n + m], data[8 + n + m :]))
+    out = first.astype(np.uint32)
+    two = (first >= 192) & (first < 255)
+    out[two] = 192 + ((out[two] - 192) << np.uint32(8)) + second
+    out[first == 255] = np.ascontiguousarray(rest.reshape(4, -1).T).reshape(-1).view("<u4")
+    return out
 
 
 def groups_of(words: list[str]) -> np.ndarray:
     return np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words)) % GROUPS
 
 
-SPLIT_SQL = "block string, word_group int, rows array<long>, sizes array<int>, width int, positions binary, words binary"
+SPLIT_SQL = "block string, word_group int, rows array<long>, sizes array<int>, positions binary, words binary"
 
 
 class _Local(dict):
@@ -65,22 +76,21 @@ def block_rows(name: str, ids: list, texts: list[np.ndarray], local: dict[str, i
     order = np.argsort(-counts, kind="stable")
     rank = np.empty(n, np.uint32)
     rank[order] = np.arange(n, dtype=np.uint32)
-    width = 1 if n <= 1 << 8 else 2 if n <= 1 << 16 else 3 if n <= 1 << 24 else 4
     for i in range(0, len(texts), TOGETHER):
         part = texts[i : i + TOGETHER]
         flat = np.concatenate(part)
-        yield name, None, ids[i : i + TOGETHER], [len(x) for x in part], width, pack(rank[flat] if n else flat, width), None
+        yield name, None, ids[i : i + TOGETHER], [len(x) for x in part], pack(rank[flat] if n else flat), None
     words = sorted(local)
     group = groups_of(words)
     for g in np.unique(group):
         mine = [words[k] for k in np.flatnonzero(group == g)]
         where = rank[np.fromiter((local[w] for w in mine), np.int64, len(mine))]
         blob = zstandard.ZstdCompressor(level=3).compress("\n".join(mine).encode())
-        yield name, int(g), None, None, width, pack(where, width), blob
+        yield name, int(g), None, None, pack(where), blob
 
 
 def to_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [("block", pa.string()), ("word_group", pa.int32()), ("rows", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("width", pa.int32()), ("positions", pa.binary()), ("words", pa.binary())]
+    kinds = [("block", pa.string()), ("word_group", pa.int32()), ("rows", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("positions", pa.binary()), ("words", pa.binary())]
     cols = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
 
@@ -115,22 +125,22 @@ def split_blocks(file):
 
 
 def encode_words(file):
-    """(block, width, positions, words) rows of whole word groups -> (block, positions, counts and ids), every distinct word encoded once."""
+    """(block, positions, words) rows of whole word groups -> (block, positions, counts and ids), every distinct word encoded once."""
 
     def run(batches):
         split, known = splitter(file.value), {}
         for batch in batches:
-            blocks, widths, places, counts, ids = [], [], [], [], []
-            for block, width, where, blob in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            blocks, places, counts, ids = [], [], [], []
+            for block, where, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 words = zstandard.ZstdDecompressor().decompress(blob).decode().split("\n")
                 for w in words:
                     if w not in known:
                         known[w] = np.array(split.encode(w), np.uint32)
                 mine = [known[w] for w in words]
                 flat = np.concatenate(mine)
-                blocks.append(block), widths.append(width), places.append(where)
-                counts.append(pack(np.fromiter(map(len, mine), np.uint32, len(mine)), 3)), ids.append(pack(flat, 3))
-            yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(widths, pa.int32()), pa.array(places, pa.binary()), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], names=["block", "width", "positions", "counts", "ids"])
+                blocks.append(block), places.append(where)
+                counts.append(pack(np.fromiter(map(len, mine), np.uint32, len(mine)))), ids.append(pack(flat))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(places, pa.binary()), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], names=["block", "positions", "counts", "ids"])
 
     return run
 
@@ -140,8 +150,8 @@ def join_back(names):
 
     def run(key, left: pa.Table, right: pa.Table):
         lengths, parts, places = [], [], []
-        for width, where, counts, ids in zip(*(right.column(c).to_pylist() for c in ("width", "positions", "counts", "ids")), strict=True):
-            places.append(unpack(where, width)), lengths.append(unpack(counts, 3)), parts.append(unpack(ids, 3))
+        for where, counts, ids in zip(*(right.column(c).to_pylist() for c in ("positions", "counts", "ids")), strict=True):
+            places.append(unpack(where)), lengths.append(unpack(counts)), parts.append(unpack(ids))
         where = np.concatenate(places).astype(np.int64) if places else np.zeros(0, np.int64)
         length = np.concatenate(lengths).astype(np.int64) if lengths else np.zeros(0, np.int64)
         flat = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
@@ -149,8 +159,8 @@ def join_back(names):
         at, n = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
         at[where], n[where] = starts, length
         vocabulary = pa.array(names.value, pa.string())
-        for rows, sizes, width, positions in zip(*(left.column(c).to_pylist() for c in ("rows", "sizes", "width", "positions")), strict=True):
-            words = unpack(positions, width).astype(np.int64)
+        for rows, sizes, positions in zip(*(left.column(c).to_pylist() for c in ("rows", "sizes", "positions")), strict=True):
+            words = unpack(positions).astype(np.int64)
             each = n[words]
             ends = np.concatenate([[0], np.cumsum(each)])
             ids = flat[np.repeat(at[words] - ends[:-1], each) + np.arange(ends[-1])]
@@ -183,9 +193,9 @@ def bpe_encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     scratch, text = Scratch(spark), read_file(tokenizer)
     file, names = spark.sparkContext.broadcast(text), spark.sparkContext.broadcast(pieces(text))
     split = scratch.save(documents(docs, "doc_id", "text").mapInArrow(split_blocks(file), SPLIT_SQL), "blocks")
-    asked = split.filter("word_group is not null").select("word_group", "block", "width", "positions", "words").repartition("word_group").select("block", "width", "positions", "words")
-    answered = asked.mapInArrow(encode_words(file), "block string, width int, positions binary, counts binary, ids binary")
-    texts = split.filter("word_group is null").select("block", "rows", "sizes", "width", "positions")
+    asked = split.filter("word_group is not null").select("word_group", "block", "positions", "words").repartition("word_group").select("block", "positions", "words")
+    answered = asked.mapInArrow(encode_words(file), "block string, positions binary, counts binary, ids binary")
+    texts = split.filter("word_group is null").select("block", "rows", "sizes", "positions")
     return texts.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(join_back(names), "doc_id long, ids array<int>, decoded string")
 
 

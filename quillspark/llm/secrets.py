@@ -18,6 +18,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.runtime import documents, prepare
 
@@ -125,7 +126,7 @@ def scan(text: str, least: float) -> tuple[list[tuple[int, int, int]], list[tupl
     return base, added
 
 
-def scanner(least: float):
+def scanner(least: float, carry: tuple[str, ...]):
     def run(batches):
         for batch in batches:
             starts, ends, kinds, costs = [], [], [], []
@@ -135,19 +136,20 @@ def scanner(least: float):
                 starts.append([s for s, _, _ in spans]), ends.append([e for _, _, e in spans]), kinds.append([KINDS[k] for _, k, _ in spans])
                 costs.append([log10_guesses(text[s:e]) if k == 3 else None for s, k, e in spans])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(kinds, pa.list_(pa.string())), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(costs, pa.list_(pa.float64()))],
-                names=["doc_id", "text", "kinds", "starts", "ends", "log10_guesses"],
+                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(kinds, pa.list_(pa.string())), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(costs, pa.list_(pa.float64())), *batch.columns[2:]],
+                names=["doc_id", "text", "kinds", "starts", "ends", "log10_guesses", *carry],
             )
 
     return run
 
 
-def secret_scan(docs: DataFrame, min_log10_guesses: float = 9.0) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> ``doc_id, text, spans: array<struct<kinds, starts, ends, log10_guesses>>`` in order of start, then kind."""
+def secret_scan(docs: DataFrame, min_log10_guesses: float = 9.0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``docs(doc_id, text, ...)`` -> ``doc_id, text, spans: array<struct<kinds, starts, ends, log10_guesses>>`` in order of start, then kind, and the columns to carry."""
     prepare(docs.sparkSession)
-    sql = "doc_id long, text string, kinds array<string>, starts array<int>, ends array<int>, log10_guesses array<double>"
-    found = documents(docs, "doc_id", "text").mapInArrow(scanner(min_log10_guesses), sql)
-    return found.select("doc_id", "text", F.arrays_zip("kinds", "starts", "ends", "log10_guesses").alias("spans"))
+    docs = documents(docs, "doc_id", "text", *carry)
+    schema = T._parse_datatype_string("doc_id long, text string, kinds array<string>, starts array<int>, ends array<int>, log10_guesses array<double>")
+    found = docs.mapInArrow(scanner(min_log10_guesses, carry), T.StructType([*schema.fields, *docs.schema.fields[2:]]))
+    return found.select("doc_id", "text", *carry, F.arrays_zip("kinds", "starts", "ends", "log10_guesses").alias("spans"))
 
 
 def written(spans: Column) -> Column:

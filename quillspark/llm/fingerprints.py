@@ -15,13 +15,16 @@ document; documents with one id follow each other by their texts' hashes; a null
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.ordering import with_next
 from quillspark.llm.runtime import Scratch, documents, prepare
 
 #: Code points of a piece, and piece hashes in a fingerprint.
 PIECE, SKETCH = 32, 64
+#: Stands for a null id, and sorts first.
+NO_ID = -(1 << 63)
 _PIECES = r"[^.!?]{1,%d}[.!?]*\s?|[.!?]+\s?" % (PIECE - 2)
 
 
@@ -81,25 +84,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def successors(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs(o, h, n)`` -> each distinct (o, h) with the one after it (the first after the last): ``o, h, n, rows, next_o, next_h``.
-
-    Ids are sorted over range partitions, each of which looks ahead for itself; a partition's last row takes the next
-    partition's first. Only one row for each partition meets in one task.
-    """
-    spark = docs.sparkSession
+    """``docs(o, h, n)`` -> each distinct (o, h) with the one after it (the first after the last): ``o, h, n, rows, next_o, next_h``."""
     ids = docs.groupBy("o", "h").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = scratch.save(ids.repartitionByRange(parts, "o", "h").withColumn("part", F.spark_partition_id()), "ranged")
-    ahead = Window.partitionBy("part").orderBy("o", "h")
-    firsts = scratch.save(ranged.groupBy("part").agg(F.min(F.struct("o", "h")).alias("first")), "firsts")  # a row for each partition
-    wrap = firsts.agg(F.min("first").alias("wrap"))
-    after = firsts.join(F.broadcast(firsts.select(F.col("part").alias("later"), F.col("first").alias("later_first"))), F.col("later") > F.col("part"), "left")
-    after = after.groupBy("part").agg(F.min("later_first").alias("after"))
-    looked = ranged.withColumn("next", F.lead(F.struct("o", "h")).over(ahead)).join(F.broadcast(after), "part")
-    first = wrap.first()["wrap"]
-    start = F.struct(F.lit(first["o"]).cast("long").alias("o"), F.lit(first["h"]).cast("long").alias("h")) if first else F.lit(None).cast("struct<o:long,h:long>")
-    looked = looked.withColumn("next", F.coalesce("next", "after", start))
-    return scratch.save(looked.select("o", "h", "n", "rows", F.col("next.o").alias("next_o"), F.col("next.h").alias("next_h")), "order")
+    ahead = scratch.save(with_next(ids, ["o", "h"], scratch), "ahead")
+    first = ahead.agg(F.min(F.struct("o", "h")).alias("first")).first()["first"]
+    wrap = F.struct(F.lit(first["o"]).cast("long").alias("o"), F.lit(first["h"]).cast("long").alias("h")) if first else F.col("next")
+    return ahead.withColumn("next", F.coalesce("next", wrap)).select("o", "h", "n", "rows", F.col("next.o").alias("next_o"), F.col("next.h").alias("next_h"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -111,7 +101,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = documents(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("o"), F.xxhash64(text).alias("h"))
+    # the two joins with texts need the same columns, so that they share one shuffle; the id is read back from o
+    keyed = documents(docs, "doc_id", "text").select(text.alias("text"), F.coalesce("doc_id", F.lit(NO_ID)).alias("o"), F.xxhash64(text).alias("h"))
     order = successors(keyed.select("o", "h", F.char_length("text").alias("n")), scratch)
     wants = order.select(F.col("next_o").alias("o"), F.col("next_h").alias("h"), F.col("o").alias("to_o"), F.col("h").alias("to_h"), F.floor(F.col("n") / 4).cast("int").alias("k"))
     heads = keyed.join(wants, ["o", "h"]).select("to_o", "to_h", F.expr("substring(text, 1, k)").alias("head"), fingerprint(merkle(F.col("text"))).alias("next_print"))
@@ -123,7 +114,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     both = both.withColumns({"tree": merkle(F.col("text")), "edited_tree": merkle(F.col("edited"))})
     both = both.withColumns({"fingerprint": fingerprint(F.col("tree")), "edited_fingerprint": fingerprint(F.col("edited_tree"))})
     return both.select(
-        "doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint",
+        F.when(F.col("o") != NO_ID, F.col("o")).alias("doc_id"), "n_chars", "edited", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next"),
         locate_edits(F.col("tree"), F.col("edited_tree")).alias("edits"),

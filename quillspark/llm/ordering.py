@@ -18,7 +18,6 @@ def with_next(rows: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
     key = F.struct(*order)
     ranged = scratch.save(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranged")
     firsts = scratch.save(ranged.groupBy("part").agg(F.min(key).alias("first")), "firsts")
-    later = firsts.select(F.col("part").alias("later"), F.col("first").alias("later_first"))
-    after = firsts.join(F.broadcast(later), F.col("later") > F.col("part")).groupBy("part").agg(F.min("later_first").alias("after"))
+    after = firsts.select("part", F.lead("first").over(Window.orderBy("part")).alias("after"))  # a row for each partition
     ahead: Column = F.lead(key).over(Window.partitionBy("part").orderBy(*order))
     return ranged.withColumn("next", ahead).join(F.broadcast(after), "part", "left").withColumn("next", F.coalesce("next", "after")).drop("part", "after")

@@ -2,10 +2,11 @@
 
 The global order of n-grams is the order of their 64-bit hashes. It is cut into fragments, contiguous ranges of the
 order, so each document falls into one segment for each fragment. For two documents of similarity ``threshold``, the
-symmetric difference of their n-gram sets has at most ``D`` n-grams, a number that their sizes bound; with ``D + 2``
-fragments at least two segments are equal, and equal segments are found by hash. Candidates are then verified: partial
-overlaps are counted for each fragment apart (equal segments count whole, only differing ones are compared) and summed
-for each pair. Nothing is capped, and the result is exact but for 64-bit hash collisions.
+symmetric difference of their n-gram sets has at most ``D`` n-grams, a number that their sizes bound; with more than
+``D`` fragments they agree in some segments, which are found by hash. Of a document's segments only the ``D + 1`` rarest
+are needed to meet every partner, so common ones (empty segments, boilerplate) seldom make candidates. Candidates are
+then verified: partial overlaps are counted for each fragment apart (equal segments count whole, only differing ones are
+compared) and summed for each pair. Nothing is capped, and the result is exact but for 64-bit hash collisions.
 
 Groups of any size are handled without all their pairs. Equal sets fall together first. Documents that share a
 segment are compared with one of them, the hub (smallest id). Only groups that still hold documents of different
@@ -33,6 +34,8 @@ from quillspark.llm.runtime import Scratch, documents, prepare, small
 FRAGMENTS = 64
 #: Sizes of a class differ by at most this factor; each class has its own number of fragments for candidates.
 CLASS_GROWTH = 1.5
+#: Keys held more than once that are broadcast at most (two longs each); beyond it the join shuffles.
+SHARED_ROWS = 4_000_000
 #: Groups of at most so many documents are paired as they are.
 FEW = 16
 
@@ -72,23 +75,13 @@ class Classes:
         return out
 
 
-def segment_keys(grams: np.ndarray, classes: Classes) -> np.ndarray:
-    """A key for each segment of a set, in each class in which it can have partners."""
-    size = len(grams)
-    if size < classes.least:
-        return np.zeros(0, W.U)
-    sums = np.zeros(size + 1, W.U)
+def segment_keys(grams: np.ndarray, c: int, count: int, salt: int) -> np.ndarray:
+    """A key for each of a set's segments, empty ones too, in one class."""
+    sums = np.zeros(len(grams) + 1, W.U)
     np.cumsum(W.mix(grams, 1), out=sums[1:])
-    out = []
-    for c in classes.of(size):
-        count = classes.most_apart(c) + 2
-        cuts = fragment_cuts(grams, count)
-        held = np.diff(cuts)
-        keys = W.mix(sums[cuts[1:]] - sums[cuts[:-1]], 2)
-        keys = W.mix(keys ^ (np.arange(count, dtype=W.U) << W.U(20)) ^ (W.U(c) << W.U(50)), 3)
-        # Two equal segments are certain; only a set with two empty ones can have no other equal segment than those.
-        out.append(keys if (held == 0).sum() >= 2 else keys[held > 0])
-    return np.concatenate(out)
+    cuts = fragment_cuts(grams, count)
+    keys = W.mix(sums[cuts[1:]] - sums[cuts[:-1]], 2)
+    return W.mix(keys ^ (np.arange(count, dtype=W.U) << W.U(20)) ^ (W.U(c) << W.U(50)), salt)
 
 
 def fragment_cuts(grams: np.ndarray, count: int) -> np.ndarray:
@@ -97,28 +90,31 @@ def fragment_cuts(grams: np.ndarray, count: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(grams, edges), [len(grams)]]).astype(np.int64)
 
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64())])
 SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digests", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("segments", pa.list_(pa.list_(pa.int64())))])
 
 
-def sketches(n: int, threshold: int):
+def sketches(n: int):
     def run(batches):
-        classes = Classes(threshold)
         for batch in batches:
-            sizes, f1, f2, keys = [], [], [], []
+            sizes, f1, f2 = [], [], []
             for _, words in W.per_row(batch.column(1), True):
                 grams = gram_set(words, n)
                 sizes.append(len(grams))
                 f1.append(np.add.reduce(W.mix(grams, 11)) if len(grams) else W.U(0))
                 f2.append(np.add.reduce(W.mix(grams, 12)) if len(grams) else W.U(0))
-                keys.append(W.signed(segment_keys(grams, classes)))
             ints = lambda v: pa.array(np.array(v, W.U).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), ints(f1), ints(f2), W.lists(keys)], schema=SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), ints(f1), ints(f2)], schema=SKETCH)
 
     return run
 
 
-def fine_keys(n: int, threshold: int):
+def class_keys(n: int, threshold: int, fine: bool):
+    """(doc_id, text) -> a row for each size class in which a document can have partners, with its segments' keys.
+
+    ``need`` is one more than the segments in which a similar pair can differ.
+    """
+
     def run(batches):
         classes = Classes(threshold)
         for batch in batches:
@@ -126,14 +122,13 @@ def fine_keys(n: int, threshold: int):
             names = batch.column(0).to_pylist()
             for k, words in W.per_row(batch.column(1), True):
                 grams = gram_set(words, n)
-                sums = np.zeros(len(grams) + 1, W.U)
-                np.cumsum(W.mix(grams, 1), out=sums[1:])
-                most = len(grams) + len(grams) * 100 // threshold
+                if len(grams) < classes.least:
+                    continue
                 for c in classes.of(len(grams)):
-                    count = 4 * classes.most_apart(c) + 2
-                    cuts = fragment_cuts(grams, count)
-                    mixed = W.mix(sums[cuts[1:]] - sums[cuts[:-1]], 4) ^ (np.arange(count, dtype=W.U) << W.U(20)) ^ (W.U(c) << W.U(50))
-                    ids.append(names[k]), at.append(c), size.append(len(grams)), keys.append(W.signed(W.mix(mixed, 5)))
+                    count = 4 * classes.most_apart(c) + 2 if fine else classes.most_apart(c) * 106 // 100 + 3
+                    most = len(grams) + min(len(grams) * 100 // threshold, classes.edge(c + 1) - 1)
+                    ids.append(names[k]), at.append(c), size.append(len(grams))
+                    keys.append(W.signed(segment_keys(grams, c, count, 5 if fine else 3)))
                     need.append(most * (100 - threshold) // (100 + threshold) + 1)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(need, pa.int32()), pa.array(size, pa.int64()), W.lists(keys)], names=["doc_id", "class", "need", "n", "keys"])
 
@@ -163,8 +158,8 @@ def segment_sets(n: int):
     return run
 
 
-SKETCH_SQL = "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"
-FINE_SQL = "doc_id long, class int, need int, n long, keys array<long>"
+SKETCH_SQL = "doc_id long, n_shingles long, f1 long, f2 long"
+KEYS_SQL = "doc_id long, class int, need int, n long, keys array<long>"
 SETS_SQL = "doc_id long, n long, digests array<long>, counts array<int>, segments array<array<long>>"
 
 
@@ -218,7 +213,7 @@ class Join:
         save = self.scratch.save
         named = save(rest.select("doc_id", "label").distinct(), "named")
         texts = self.docs.join(small(named.select("doc_id")), "doc_id", "left_semi")
-        fine = save((texts.dropDuplicates(["doc_id"]) if self.repeated else texts).mapInArrow(fine_keys(self.n, self.t), FINE_SQL), "fine")
+        fine = save((texts.dropDuplicates(["doc_id"]) if self.repeated else texts).mapInArrow(class_keys(self.n, self.t, True), KEYS_SQL), "fine")
         keys = fine.select("doc_id", "class", "need", "n", F.posexplode("keys").alias("part", "key"))
         often = save(keys.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "often")
         order = Window.partitionBy("doc_id", "class").orderBy(F.coalesce("held", F.lit(1)), "key")
@@ -227,7 +222,7 @@ class Join:
 
     def run(self) -> DataFrame:
         save = self.scratch.save
-        sketch = save(self.docs.mapInArrow(sketches(self.n, self.t), SKETCH_SQL), "sketch")
+        sketch = save(self.docs.mapInArrow(sketches(self.n), SKETCH_SQL), "sketch")
         with_set = sketch.filter("n_shingles > 0 and doc_id is not null")
         ids = with_set.agg(F.count(F.lit(1)), F.approx_count_distinct("doc_id", 0.02)).first()
         self.repeated = ids[1] < 0.9 * ids[0] or with_set.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
@@ -236,11 +231,17 @@ class Join:
             with_set.select("doc_id", "f1", "f2", "n_shingles").join(equal, ["f1", "f2", "n_shingles"]).filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")),
             "copies",
         )
-        apart = with_set.select("doc_id", "keys").join(small(copies.select(F.col("b").alias("doc_id"))), "doc_id", "left_anti")
-        keys = apart.select("doc_id", F.explode("keys").alias("key"))
-        hubs = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("far")).filter("hub < far")
-        shared = save(keys.join(hubs.hint("shuffle_hash"), "key"), "shared")
-        pairs = save(shared.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+        apart = self.docs.filter("doc_id is not null").join(small(copies.select(F.col("b").alias("doc_id"))), "doc_id", "left_anti")
+        rows = (apart.dropDuplicates(["doc_id"]) if self.repeated else apart).mapInArrow(class_keys(self.n, self.t, False), KEYS_SQL)
+        keys = rows.select("doc_id", "class", "need", F.size("keys").alias("parts"), F.explode("keys").alias("key"))
+        often = save(keys.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "often")
+        # of the keys, most are held once and go here; the table of the others is broadcast only if it is small
+        shared = save(keys.join(small(often, SHARED_ROWS), "key"), "shared")
+        one = Window.partitionBy("doc_id", "class")
+        rank = F.col("parts") - F.count(F.lit(1)).over(one) + F.row_number().over(one.orderBy("held", "key"))
+        shared = save(shared.withColumn("at", rank).filter("at <= need").select("key", "doc_id"), "front")
+        hubs = shared.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("far")).filter("hub < far").select("key", "hub")
+        pairs = save(shared.join(save(hubs, "hubs"), "key").filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
         links = self.verified(pairs)
         label = small(components(links, self.scratch))
         named = shared.join(label, shared.doc_id == label.node, "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))

@@ -16,21 +16,36 @@ from quillspark.functions.paths import child
 from quillspark.functions.values import Value
 
 Test = Callable[[Value], Column]
+Sure = Callable[[Column], Column]
 
 
-def compile_filter(spec: dict, scope: Scope) -> Column:
+def never_null(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
+def as_it_is(c: Column) -> Column:
+    """Where rows are kept if a condition is true, null is as good as false, and a bare comparison reaches the scan."""
+    return c
+
+
+def row_filter(spec: dict, scope: Scope) -> Column:
+    """A filter for ``DataFrame.filter``: as ``compile_filter``, but null may stand for false."""
+    return compile_filter(spec, scope, as_it_is)
+
+
+def compile_filter(spec: dict, scope: Scope, sure: Sure = never_null) -> Column:
     if not isinstance(spec, dict):
         raise QueryError(BAD_VALUE, "the filter must be an object")
-    return V.all_of([_top(k, v, scope) for k, v in spec.items()])
+    return V.all_of([_top(k, v, scope, sure) for k, v in spec.items()])
 
 
-def _top(key: str, spec, scope: Scope) -> Column:
+def _top(key: str, spec, scope: Scope, sure: Sure) -> Column:
     if key in ("$and", "$or", "$nor"):
         if not isinstance(spec, list) or not spec:
             raise QueryError(BAD_VALUE, f"{key} must be a nonempty array")
         if any(not isinstance(s, dict) for s in spec):
             raise QueryError(14817, f"{key} entries need to be full objects")
-        parts = [compile_filter(s, scope) for s in spec]
+        parts = [compile_filter(s, scope, never_null if key == "$nor" else sure) for s in spec]
         return V.all_of(parts) if key == "$and" else V.any_of(parts) if key == "$or" else ~V.any_of(parts)
     if key == "$expr":
         return V.truth(compile_expression(spec, scope))
@@ -39,19 +54,19 @@ def _top(key: str, spec, scope: Scope) -> Column:
     if key.startswith("$"):
         raise QueryError(BAD_VALUE, f"unknown top level operator: {key}")
     head, *rest = key.split(".")
-    return field_condition(scope.fields.get(head, V.missing()), rest, spec, scope)
+    return field_condition(scope.fields.get(head, V.missing()), rest, spec, scope, sure)
 
 
 def is_operators(spec) -> bool:
     return isinstance(spec, dict) and any(k.startswith("$") for k in spec) and "$ref" not in spec
 
 
-def field_condition(value: Value, rest: list[str], spec, scope: Scope) -> Column:
+def field_condition(value: Value, rest: list[str], spec, scope: Scope, sure: Sure = never_null) -> Column:
     """One path's condition: an operator document, a pattern, or a value to equal."""
     if isinstance(spec, re.Pattern):
         spec = {"$regex": spec.pattern, "$options": "".join(c for c, f in (("i", re.I), ("m", re.M), ("s", re.S), ("x", re.X)) if spec.flags & f)}
     if not is_operators(spec):
-        return along(value, rest, lambda v: equals(v, spec))
+        return along(value, rest, lambda v: equals(v, spec, sure))
     if bad := [k for k in spec if not k.startswith("$")]:
         raise QueryError(BAD_VALUE, f"unknown operator: {bad[0]}")
     if "$regex" in spec:
@@ -60,9 +75,9 @@ def field_condition(value: Value, rest: list[str], spec, scope: Scope) -> Column
     apart = [_negated(k, v, value, rest, scope) for k, v in spec.items() if k in ("$ne", "$nin", "$not")]
     wholes = {k: v for k, v in spec.items() if k in ("$size", "$all", "$elemMatch", "$exists", "$type", "$in", "$eq", "$options")}
     singles = {k: v for k, v in spec.items() if k not in ("$ne", "$nin", "$not") and k not in wholes}
-    conditions = apart + [_whole(k, v, value, rest, scope) for k, v in wholes.items()]
+    conditions = apart + [_whole(k, v, value, rest, scope, sure) for k, v in wholes.items()]
     if singles:
-        tests = [single(k, v) for k, v in singles.items()]
+        tests = [single(k, v, sure) for k, v in singles.items()]
         conditions.append(along(value, rest, lambda v: any_element(v, lambda e: V.all_of([t(e) for t in tests]))))
     return V.all_of(conditions)
 
@@ -91,7 +106,7 @@ def any_element(value: Value, test: Test) -> Column:
     return F.coalesce(F.exists(value.col, lambda e: test(Value(e, value.type.elementType))), F.lit(False))
 
 
-def equals(value: Value, wanted) -> Column:
+def equals(value: Value, wanted, sure: Sure = never_null) -> Column:
     if isinstance(wanted, dict) and "$ref" in wanted and isinstance(value.type, T.StructType):
         return V.all_of([V.equal(child(value, k), V.literal(v)) for k, v in wanted.items()])
     literal = V.literal(wanted)
@@ -102,7 +117,7 @@ def equals(value: Value, wanted) -> Column:
     if literal.kind == V.NULL:
         return value.col.isNull()
     if value.kind == literal.kind and value.kind in (V.NUMBER, V.STRING, V.BOOL, V.DATE):
-        return F.coalesce(_direct(value, literal, "="), F.lit(False))
+        return sure(_direct(value, literal, "="))
     return V.equal(value, literal)
 
 
@@ -130,7 +145,7 @@ def pattern(source, options: str = "") -> Test:
     return test
 
 
-def single(name: str, argument) -> Test:
+def single(name: str, argument, sure: Sure = never_null) -> Test:
     """Operators that look at one value."""
     if name in ("$gt", "$gte", "$lt", "$lte"):
         literal = V.literal(argument)
@@ -139,7 +154,7 @@ def single(name: str, argument) -> Test:
         def ordered(v: Value) -> Column:
             if v.kind != literal.kind or v.kind == V.NULL:
                 return F.lit(name in ("$gte", "$lte") and literal.kind == V.NULL) & v.col.isNull()
-            return F.coalesce(_direct(v, literal, op), F.lit(False))
+            return sure(_direct(v, literal, op))
 
         return ordered
     if name == "$mod":
@@ -158,16 +173,16 @@ def _whole_number(v: Value) -> Column:
     return v.col if V.whole(v.type) else v.col.try_cast("bigint")
 
 
-def _member(wanted: list, value: Value) -> Column:
+def _member(wanted: list, value: Value, sure: Sure = never_null) -> Column:
     plain = [w for w in wanted if not isinstance(w, re.Pattern)]
     tests = [any_element(value, pattern(w.pattern, "i" if w.flags & re.I else "")) for w in wanted if isinstance(w, re.Pattern)]
     literals = [V.literal(w) for w in plain]
     simple = [w for w, l in zip(plain, literals, strict=True) if l.kind == value.kind and value.kind in (V.NUMBER, V.STRING)]
     if simple and value.kind != V.ARRAY and not isinstance(value.type, T.DecimalType):
         same = [w for w in simple if not (V.whole(value.type) and isinstance(w, float))]
-        tests.append(F.coalesce(value.col.isin([F.lit(w).cast(value.type) for w in same]), F.lit(False)) if same else F.lit(False))
+        tests.append(sure(value.col.isin([F.lit(w).cast(value.type) for w in same])) if same else F.lit(False))
         plain = [w for w in plain if w not in same]
-    return V.any_of(tests + [equals(value, w) for w in plain])
+    return V.any_of(tests + [equals(value, w, sure) for w in plain])
 
 
 def _negated(name: str, argument, value: Value, rest: list[str], scope: Scope) -> Column:
@@ -186,12 +201,12 @@ def _list(argument, name: str) -> list:
     return list(argument)
 
 
-def _whole(name: str, argument, value: Value, rest: list[str], scope: Scope) -> Column:
+def _whole(name: str, argument, value: Value, rest: list[str], scope: Scope, sure: Sure = never_null) -> Column:
     """Operators that look at an array as a whole, or at whether and what there is."""
     if name == "$eq":
-        return along(value, rest, lambda v: equals(v, argument))
+        return along(value, rest, lambda v: equals(v, argument, sure))
     if name == "$in":
-        return along(value, rest, lambda v: _member(_list(argument, name), v))
+        return along(value, rest, lambda v: _member(_list(argument, name), v, sure))
     if name == "$exists":
         found = along(value, rest, lambda v: F.lit(False) if v.missing else v.col.isNotNull())
         return found if argument else ~found

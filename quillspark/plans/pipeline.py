@@ -15,7 +15,7 @@ from quillspark.functions.expressions import Scope, compile_expression
 from quillspark.functions.paths import fields_of, plain, top, visible
 from quillspark.functions.values import Value
 from quillspark.operators.accumulators import Order, aggregates
-from quillspark.operators.filters import compile_filter
+from quillspark.operators.filters import row_filter
 from quillspark.operators.projection import Fields, add_fields, assign, exclude, project, tree_of
 
 ORDINAL = "__ord"
@@ -94,7 +94,7 @@ def row(df: DataFrame) -> Column:
 
 @stage("$match")
 def _match(c: Context, spec) -> Context:
-    return replace(c, df=c.df.filter(compile_filter(spec, c.scope())))
+    return replace(c, df=c.df.filter(row_filter(spec, c.scope())))
 
 
 @stage("$project")

@@ -19,7 +19,7 @@ from quillspark.functions import values as V
 from quillspark.functions.expressions import Scope
 from quillspark.functions.paths import fields_of, top, visible
 from quillspark.functions.values import Value
-from quillspark.operators.filters import compile_filter
+from quillspark.operators.filters import compile_filter, row_filter
 from quillspark.operators.projection import find_projection
 from quillspark.operators.updates import Update, changed_fields, conformed, merged_struct, seed
 from quillspark.plans import pipeline as P
@@ -460,7 +460,7 @@ def distinct(df: DataFrame, path: str, filter: dict | None = None) -> DataFrame:
     df = utc_times(df)
     scope = Scope(fields_of(df))
     if filter:
-        df = df.filter(compile_filter(filter, scope))
+        df = df.filter(row_filter(filter, scope))
     value = top(scope.fields, path)
     if value.missing:
         return df.select(F.lit(None).cast("string").alias("value")).limit(0)

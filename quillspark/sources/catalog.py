@@ -164,6 +164,15 @@ class Database:
             raise QueryError(NAMESPACE_EXISTS, "target namespace exists")
         self.engine.fs.rename(self.engine._path(f"{self.path}/{old}"), self.engine._path(f"{self.path}/{new}"))
 
+    def namespaces(self) -> DataFrame:
+        """``system.namespaces``: a row for each collection."""
+        return self.engine.spark.createDataFrame([(f"{self.name}.{n}",) for n in self.collections()], "name string")
+
+    def system_indexes(self) -> DataFrame:
+        """``system.indexes``: a row for each key of each collection."""
+        rows = [(k, f"{self.name}.{n}", i["key"], bool(i.get("sparse"))) for n in self.collections() for k, i in self[n].indexes().items()]
+        return self.engine.spark.createDataFrame(rows, "name string, ns string, key array<string>, sparse boolean")
+
     def stats(self) -> dict:
         each = [self[n].stats() for n in self.collections()]
         return {"db": self.name, "collections": len(each), "objects": sum(s["count"] for s in each), "dataSize": sum(s["size"] for s in each), "indexes": sum(s["nindexes"] for s in each), "ok": 1}

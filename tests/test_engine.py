@@ -81,6 +81,7 @@ def test_unique_keys_and_find_and_modify(engine):
     assert c.count() == 2 and sorted(c.indexes()) == ["_id_", "k_1"]
     assert c.find_and_modify({}, {"$inc": {"n": 5}}, sort={"n": -1}, new=True, fields={"n": 1}) == {"_id": 2, "n": 7}
     assert c.find_and_modify({"k": "a"}, remove=True)["_id"] == 1 and c.count() == 1
+    assert c.aggregate([{"$indexStats": {}}, {"$match": {"name": "k_1"}}]).count() == 1 and engine["db"].system_indexes().count() == 2 and engine["db"].namespaces().first()["name"] == "db.c"
     c.drop_index("k_1")
     c.insert([{"_id": 4, "k": "b"}])
     assert c.stats()["count"] == 2 and c.validate()["valid"]

@@ -32,6 +32,8 @@ from quillspark.llm.runtime import Scratch, documents, prepare, small
 
 #: Words of a reference block without its context.
 BLOCK = 256
+#: Rows of the index that are broadcast at most (two longs each); beyond it the join shuffles.
+INDEX_ROWS = 4_000_000
 SKETCH_SQL = "doc_id long, f1 long, f2 long, n_words long, anchors array<long>, at array<int>"
 FACTOR_SQL = "doc_id long, f1 long, runs array<int>, hashes array<long>, starts array<int>"
 OUT_SQL = "doc_id long, n_words long, n_removed long, kept string, spans array<int>"
@@ -219,7 +221,8 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     apart = long.join(small(copies), ["doc_id", "f1"], "left_anti")
     seen = apart.select("doc_id", "f1", F.explode(F.arrays_zip("anchors", "at")).alias("x")).select("doc_id", "f1", F.col("x.anchors").alias("h"), F.col("x.at").alias("p"))
     index = seen.groupBy("h").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").drop("last")
-    shared = save(seen.join(index.hint("shuffle_hash"), "h"), "shared")
+    # saved first, so that the join shuffles both sides anew and splits a common anchor, or broadcasts a small index
+    shared = save(seen.join(small(save(index, "index"), INDEX_ROWS), "h"), "shared")
     held = shared.filter("doc_id = hub").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("p", "f1"))).alias("x"))
     first = held.withColumn("x", F.element_at("x", F.floor(F.size("x") / 2).cast("int") + 1)).select("h", F.col("x.p").alias("q"), F.col("x.f1").alias("hub_f1"))
     located = shared.join(save(first, "first"), "h").filter("not (doc_id = hub and p = q and f1 = hub_f1)")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.runtime import documents, prepare
+from quillspark.llm.runtime import documents, drawn, prepare
 
 #: Hash buckets of n-grams; rows that weights are fitted on (a bound, drawn by hash of the id); passes over them.
 BUCKETS, SAMPLE, EPOCHS = 1 << 15, 6_000, 3
@@ -140,8 +140,7 @@ def train(rows: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> Model:
     df = np.zeros(BUCKETS)
     df[list(found)] = list(found.values())
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float64)
-    drawn = rows.withColumn("draw", F.xxhash64("doc_id", F.lit("language"))).orderBy("draw", "doc_id").limit(sample)
-    got = drawn.select("text", "lang").mapInArrow(features, "at array<int>, n array<int>, lang string").toArrow()
+    got = drawn(rows, total, sample, "language").select("text", "lang").mapInArrow(features, "at array<int>, n array<int>, lang string").toArrow()
     langs = got.column("lang").to_pylist()
     classes = sorted(set(langs))
     if not classes:

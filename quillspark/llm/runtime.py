@@ -80,3 +80,15 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def documents(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns only, so that extra columns never clash with working names."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def drawn(rows: DataFrame, total: int, sample: int, salt: str) -> DataFrame:
+    """About ``sample`` of ``rows`` (all, if there are no more; twice as many at most), by hash of id and text.
+
+    Only hashes are compared, so no row is sorted or shuffled; the same rows are drawn whatever the partitions.
+    """
+    if total <= sample:
+        return rows
+    low = -(1 << 63)
+    chosen = rows.filter(F.xxhash64("doc_id", "text", F.lit(salt)) < F.lit(low + (1 << 64) * sample // total))
+    return chosen.limit(2 * sample) if chosen.count() > 2 * sample else chosen  # only where one row is repeated very often

@@ -35,7 +35,7 @@ FRAGMENTS = 64
 #: Sizes of a class differ by at most this factor; each class has its own number of fragments for candidates.
 CLASS_GROWTH = 1.5
 #: Keys held more than once that are broadcast at most (two longs each); beyond it the join shuffles.
-SHARED_ROWS = 4_000_000
+SHARED_ROWS = 200_000
 #: Groups of at most so many documents are paired as they are.
 FEW = 16
 

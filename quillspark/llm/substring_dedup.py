@@ -33,7 +33,7 @@ from quillspark.llm.runtime import Scratch, documents, prepare, small
 #: Words of a reference block without its context.
 BLOCK = 256
 #: Rows of the index that are broadcast at most (two longs each); beyond it the join shuffles.
-INDEX_ROWS = 4_000_000
+INDEX_ROWS = 200_000
 SKETCH_SQL = "doc_id long, f1 long, f2 long, n_words long, anchors array<long>, at array<int>"
 FACTOR_SQL = "doc_id long, f1 long, runs array<int>, hashes array<long>, starts array<int>"
 OUT_SQL = "doc_id long, n_words long, n_removed long, kept string, spans array<int>"

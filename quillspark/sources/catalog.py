@@ -207,7 +207,7 @@ class Collection:
         df = self.frame()
         return self.spark.createDataFrame([], T.StructType([T.StructField("_id", T.StringType())])) if df is None else df
 
-    def _replace(self, df: DataFrame, next_: int | None = None) -> None:
+    def _replace(self, df: DataFrame) -> None:
         """A new version; unique keys are checked on it before it becomes the current one."""
         self.engine.writable()
         meta = self.meta() or {"version": None, "next": 0, "unique": {}}
@@ -221,8 +221,8 @@ class Collection:
         except QueryError:
             self.engine.delete(f"{self.path}/{version}")
             raise
-        old = meta["version"]
-        self._save_meta(meta | {"version": version, "next": meta["next"] if next_ is None else next_, "previous": old})
+        last = written.agg(F.max(P.ORDINAL)).first()[0] if P.ORDINAL in written.columns else None
+        self._save_meta(meta | {"version": version, "next": max(meta["next"], (last or 0) + 1), "previous": meta["version"]})
         if meta.get("previous"):  # readers of the version before may still be at work on it
             self.engine.delete(f"{self.path}/{meta['previous']}")
 
@@ -293,7 +293,6 @@ class Collection:
         if isinstance(documents, DataFrame):
             new = documents if "_id" in documents.columns else documents.withColumn("_id", F.expr("substring(md5(uuid()), 1, 24)"))
             new = new.withColumn(P.ORDINAL, F.monotonically_increasing_id() + meta["next"])
-            next_ = meta["next"] + (1 << 53)
         else:
             if any(isinstance(d.get("_id"), list) for d in documents):
                 raise QueryError(BAD_VALUE, "can't use an array for _id")
@@ -302,10 +301,9 @@ class Collection:
             rows, t = to_rows([{"_id": d.get("_id", object_id())} | d | {P.ORDINAL: meta["next"] + k} for k, d in enumerate(documents)])
             t = T.StructType([T.StructField(f.name, T.LongType() if f.name == P.ORDINAL else f.dataType) for f in t.fields])
             new = self.spark.createDataFrame(rows, t)
-            next_ = meta["next"] + len(documents)
         old = self.frame() if meta["version"] else None
         both = new if old is None else union(old, new)
-        self._replace(both, next_)
+        self._replace(both)
         written = self.documents().filter(F.col(P.ORDINAL) >= meta["next"])
         self._log("insert", written)
         return len(documents) if isinstance(documents, list) else written.count()
@@ -482,9 +480,10 @@ def out_to(source: Collection, df: DataFrame, spec) -> None:
     if not isinstance(spec, str):
         raise QueryError(16990, "$out only supports a string argument")
     target = source.database[spec]
-    meta = target.meta() or source.database.create(spec).meta()
+    if target.meta() is None:
+        source.database.create(spec)
     new = df if "_id" in df.columns else df.withColumn("_id", F.expr("substring(md5(uuid()), 1, 24)"))
-    target._replace(new.withColumn(P.ORDINAL, F.monotonically_increasing_id()), meta["next"] + (1 << 53))
+    target._replace(new.withColumn(P.ORDINAL, F.monotonically_increasing_id()))
 
 
 def merge_into(source: Collection, df: DataFrame, spec) -> None:
@@ -503,7 +502,7 @@ def merge_into(source: Collection, df: DataFrame, spec) -> None:
         raise QueryError(BAD_VALUE, f"Enumeration value '{not_matched}' for field '$merge.whenNotMatched' is not a valid value.")
     meta = target.meta() or database.create(target.name).meta()
     merged, _ = merged_frames(df, target.documents(), on, matched, not_matched, spec.get("let"))
-    target._replace(merged.withColumn(P.ORDINAL, F.coalesce(P.ORDINAL, F.monotonically_increasing_id() + meta["next"])), meta["next"] + (1 << 53))
+    target._replace(merged.withColumn(P.ORDINAL, F.coalesce(P.ORDINAL, F.monotonically_increasing_id() + meta["next"])))
 
 
 def merged_frames(df: DataFrame, old: DataFrame, on: list[str], matched="merge", not_matched: str = "insert", let: dict | None = None) -> tuple[DataFrame, list[str]]:

@@ -11,7 +11,8 @@ compared) and summed for each pair. Nothing is capped, and the result is exact b
 Groups of any size are handled without all their pairs. Equal sets fall together first. Documents that share a
 segment are compared with one of them, the hub (smallest id). Only groups that still hold documents of different
 components go on: small ones as pairs across components, large ones by the rarest of finer segments, where enough
-segments are taken that no similar pair is missed.
+segments are taken that no similar pair is missed. Numbers of links need every pair: once components are known, the
+remaining pairs inside them, of different sets, are found and verified the same way, and equal sets are counted.
 
 Defined cases: null or blank texts and null ids have no n-grams or no node and link with nothing (component: the own
 id); a document with fewer than n words has its whole sequence as its only n-gram; repeated ids are one node.
@@ -164,10 +165,11 @@ SETS_SQL = "doc_id long, n long, digests array<long>, counts array<int>, segment
 
 
 class Join:
-    def __init__(self, docs: DataFrame, n: int, threshold: int):
+    def __init__(self, docs: DataFrame, n: int, threshold: int, counts: bool):
         self.spark = docs.sparkSession
         prepare(self.spark)
         self.scratch, self.docs, self.n, self.t = Scratch(self.spark), documents(docs, "doc_id", "text"), n, threshold
+        self.counts = counts
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of similarity of at least the threshold."""
@@ -220,15 +222,34 @@ class Join:
         ranked = keys.join(often, "key", "left").withColumn("at", F.row_number().over(order)).withColumn("before", F.collect_list("part").over(order.rowsBetween(Window.unboundedPreceding, -1)))
         return ranked.filter("at <= need and held > 1").join(small(named), "doc_id").select("key", "doc_id", "label", "n", "before")
 
+    def inside(self, named: DataFrame, known: DataFrame) -> DataFrame:
+        """(key, doc_id, label) of front keys -> the links inside components that are not among the known pairs."""
+        save = self.scratch.save
+        groups = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        rest = save(named.join(groups, ["key", "label"]), "within")
+        few = rest.filter(f"size <= {FEW}").select("key", "doc_id", "label", F.lit(0).alias("n"), F.array().cast("array<int>").alias("before"))
+        keyed = few.union(self.rarest(rest.filter(f"size > {FEW}"))).withColumn("key", F.xxhash64("key", "label"))
+        pairs = save(across(keyed, self.t, alike=True).distinct().join(known, ["a", "b"], "left_anti"), "all_pairs")
+        return self.verified(pairs)
+
+    def degrees(self, links: DataFrame, copies: DataFrame, equal: DataFrame) -> DataFrame:
+        """``node, n_links`` from the links between different sets, where a set counts for each document that holds it."""
+        held = equal.select(F.col("first").alias("node"), F.col("n").alias("held"))
+        both = links.select(F.col("a").alias("of"), F.col("b").alias("node")).union(links.select("b", "a"))
+        near = both.join(held, "node", "left").groupBy(F.col("of").alias("node")).agg(F.sum(F.coalesce("held", F.lit(1))).alias("near"))
+        one = near.join(held, "node", "full").select("node", (F.coalesce("near", F.lit(0)) + F.coalesce("held", F.lit(1)) - 1).alias("n_links"))
+        one = self.scratch.save(one, "degrees")
+        return one.union(copies.join(one, copies.a == one.node).select("b", "n_links"))
+
     def run(self) -> DataFrame:
         save = self.scratch.save
         sketch = save(self.docs.mapInArrow(sketches(self.n), SKETCH_SQL), "sketch")
         with_set = sketch.filter("n_shingles > 0 and doc_id is not null")
         ids = with_set.agg(F.count(F.lit(1)), F.approx_count_distinct("doc_id", 0.02)).first()
         self.repeated = ids[1] < 0.9 * ids[0] or with_set.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-        equal = save(with_set.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "equal")
+        equal = save(with_set.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "equal")
         copies = save(
-            with_set.select("doc_id", "f1", "f2", "n_shingles").join(equal, ["f1", "f2", "n_shingles"]).filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")),
+            with_set.select("doc_id", "f1", "f2", "n_shingles").join(equal.drop("n"), ["f1", "f2", "n_shingles"]).filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")),
             "copies",
         )
         apart = self.docs.filter("doc_id is not null").join(small(copies.select(F.col("b").alias("doc_id"))), "doc_id", "left_anti")
@@ -252,19 +273,21 @@ class Join:
         more = save(found.distinct().join(pairs, ["a", "b"], "left_anti"), "more")
         if more.limit(1).count():
             links = links.union(self.verified(more))
-        links = links.union(copies)
-        label = components(links, self.scratch)
-        degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
-        found = save(label.join(degree, "node", "left").select("node", "label", F.coalesce("n_links", F.lit(0)).alias("n_links")), "found")
-        self.links = links
+        if self.counts:
+            links = links.union(self.inside(named, pairs))
+        self.links = links.union(copies)
+        label = components(self.links, self.scratch)
+        degree = self.degrees(links, copies, equal) if self.counts else label.select("node", F.lit(None).cast("long").alias("n_links"))
+        found = save(label.join(degree, "node", "left").select("node", "label", "n_links"), "found")
+        none = F.lit(0 if self.counts else None).cast("long")
         return (
             sketch.select("doc_id", "n_shingles").join(small(found), F.col("doc_id") == F.col("node"), "left")
-            .select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+            .select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"), F.coalesce("n_links", none).alias("n_links"))
         )
 
 
-def across(rest: DataFrame, threshold: int, members: int = 64) -> DataFrame:
-    """(key, doc_id, label, n, before) -> the pairs of a key whose labels differ; large keys are dealt out in salted blocks.
+def across(rest: DataFrame, threshold: int, members: int = 64, alike: bool = False) -> DataFrame:
+    """(key, doc_id, label, n, before) -> the pairs of a key whose labels differ (or are ``alike``); large keys are dealt out in salted blocks.
 
     Where sizes are given (n > 0), a pair whose segments ``before`` the key are more than its sizes let differ is left out.
     """
@@ -275,16 +298,16 @@ def across(rest: DataFrame, threshold: int, members: int = 64) -> DataFrame:
     left = sized.withColumn("own", own).select("key", F.col("own").alias("x"), every.alias("y"), F.col("doc_id").alias("a"), *part("a"))
     right = sized.withColumn("own", own).select("key", every.alias("x"), F.col("own").alias("y"), F.col("doc_id").alias("b"), *part("b"))
     allowed = F.floor((F.col("na") + F.col("nb")) * (100 - threshold) / (100 + threshold))
-    on = [left[c] == right[c] for c in ("key", "x", "y")] + [F.expr("a < b"), F.col("labela") != F.col("labelb")]
+    on = [left[c] == right[c] for c in ("key", "x", "y")] + [F.expr("a < b"), F.col("labela") == F.col("labelb") if alike else F.col("labela") != F.col("labelb")]
     near = (F.col("na") == 0) | (F.size(F.array_union("beforea", "beforeb")) <= allowed)
     return left.join(right, [*on, near]).select("a", "b")
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: int = 80, counts: bool = True) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> one row per document: ``doc_id, n_shingles, component_id, n_links``.
 
     Two documents link when 100 * |intersection| >= threshold * |union| of their sets of lower-cased (A-Z) n-word
-    shingles; ``component_id`` is the smallest id that links reach, ``n_links`` the links found from the document (one
-    for each copy to its first and a spanning part of the others, not all pairs of a group).
+    shingles; ``component_id`` is the smallest id that links reach, ``n_links`` the number of all other documents that
+    link with it (null without ``counts``, which spares the pairs inside components).
     """
-    return Join(docs, n, threshold).run()
+    return Join(docs, n, threshold, counts).run()

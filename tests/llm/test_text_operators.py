@@ -102,6 +102,24 @@ def test_ngram_join_of_a_large_group_and_of_nothing(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_jaccard_join(repeated, 3, 90).collect()) == [(0, 0), (1, 1), (1, 1), (2, 1)]
 
 
+def test_ngram_join_counts_every_link(spark, docs):
+    rng = random.Random(6)
+    base = [rng.choice(WORDS) + str(k) for k in range(150)]
+    large = []
+    for k in range(60):
+        words = list(base)
+        for j in rng.sample(range(150), rng.choice([1, 1, 2, 4])):
+            words[j] = f"x{k}"
+        large.append((1000 + k, " ".join(words)))
+    rows = corpus() + large + [(2000 + k, large[k % 3][1]) for k in range(9)]
+    more = spark.createDataFrame([(i, t, "k", i, 0) for i, t in rows], docs.schema)
+    sets = {i: shingles(t, 3) for i, t in rows}
+    near = lambda a, b: a != b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])
+    want = {a: sum(bool(near(a, b)) for b in sets) for a in sets}
+    assert {i: r.n_links for i, r in by_id(ngram_jaccard_join(more, 3, 90)).items()} == want
+    assert max(want.values()) > 20
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7), (3, 2)], "a long, b long")
     assert {r.node: r.label for r in components(edges, Scratch(spark)).collect()} == {k: 0 for k in range(41)} | {100: 100, 101: 100}

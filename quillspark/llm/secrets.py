@@ -4,7 +4,7 @@ Fixed patterns give the spans ``assign``, ``access`` and ``hex``. Values that st
 by the number of guesses that an attacker needs, as in password strength meters: dynamic programming finds the cheapest
 way to segment the value into known words, dates, repeats, keyboard walks and brute-force characters, each priced by
 the logarithm of its guesses, plus a price for each boundary. Values of at least ``min_log10_guesses`` that no fixed
-span overlaps add ``guess`` spans. The cost of a value is linear in its length.
+spans cover wholly add ``guess`` spans. The cost of a value is linear in its length.
 
 Spans are [start, end) in code points of the whole text. Defined cases: a null text is empty and has no spans; texts
 of any length are scanned whole; rows are judged one by one, so repeated ids don't matter.
@@ -108,6 +108,15 @@ def log10_guesses(value: str) -> float:
     return best[n]
 
 
+def covered(start: int, end: int, base: list[tuple[int, int, int]]) -> bool:
+    """Whether the base spans, in order of start, hold every character of [start, end)."""
+    for s, _, e in base:
+        if s > start:
+            break
+        start = max(start, e)
+    return start >= end
+
+
 def scan(text: str, least: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and added spans, as (start, kind, end)."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
@@ -121,7 +130,7 @@ def scan(text: str, least: float) -> tuple[list[tuple[int, int, int]], list[tupl
             start, end = m.span(1)
             value = m.group(1).rstrip(".!?):]}")
             end = start + len(value)
-            if len(value) >= 8 and not any(s < end and start < e for s, _, e in base) and log10_guesses(value) >= least:
+            if len(value) >= 8 and not covered(start, end, base) and log10_guesses(value) >= least:
                 added.append((start, 3, end))
     return base, added
 

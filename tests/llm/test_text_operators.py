@@ -208,6 +208,13 @@ def test_secret_scan(spark):
     assert got[0].clean is None and got[6].clean == "[SECRET] tail" and got[4].clean == "x" * 10 + "[SECRET]"
 
 
+def test_secrets_that_fixed_patterns_cut_short_are_marked_whole(spark):
+    texts = ['password: "tr0ub4dor&3xK!9z" end', 'token = "f3ef4d6b2755a36d7d9c" end', "secret=" + "0a" * 13 + "#Qz7$Lw end"]
+    got = by_id(secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).withColumns({"all": written(F.col("spans")), "clean": redacted(F.col("text"), F.col("spans"))}))
+    assert [got[k].clean for k in range(3)] == ['[SECRET]" end', '[SECRET]" end', "[SECRET] end"]
+    assert got[0]["all"] == "assign:0:20,guess:11:27" and "guess" not in got[1]["all"]
+
+
 def test_guess_costs():
     weak, strong = ["password123", "qwertyuiop", "aaaaaaaaaaaa", "2023-11-05", "abcabcabcabc", "changeme2020"], ["x9$Lq2!vRt8Z", "f3ef4d6b2755a36d7d9c", "Kp3vQz81Lm"]
     assert max(map(log10_guesses, weak)) < 6 < 9 < min(map(log10_guesses, strong))

@@ -5,9 +5,8 @@ a sentence end, of PIECE code points at most. No character is dropped. A piece's
 its pieces' nodes in order, a section's its paragraphs', and the root its sections'. So roots are equal just when texts
 are, and where roots differ, ``locate_edits`` walks down the branches that differ.
 
-The fingerprint is ``root:sketch``: the root, and the SKETCH smallest distinct piece hashes (8 hex digits each).
-Likeness is 1 for equal roots; else the Dice overlap of the two sets of pieces, below 1, which sketches give exactly
-where texts have at most SKETCH pieces and estimate beyond.
+The fingerprint is ``root:leaves``: the root, and the tree's distinct piece hashes (DIGITS hex digits each), all of them.
+Likeness is 1 for equal roots; else the Dice overlap of the two sets of pieces of the whole texts, below 1.
 
 Defined cases: a null text is empty; an empty text's likeness to another is 0; rows alike in id and text are one
 document; documents with one id follow each other by their texts' hashes; a null id sorts first.
@@ -21,8 +20,8 @@ from pyspark.sql import functions as F
 from quillspark.llm.ordering import with_next
 from quillspark.llm.runtime import Scratch, documents, prepare
 
-#: Code points of a piece, and piece hashes in a fingerprint.
-PIECE, SKETCH = 32, 64
+#: Code points of a piece, and hex digits of a piece's hash in a fingerprint.
+PIECE, DIGITS = 32, 12
 #: Stands for a null id, and sorts first.
 NO_ID = -(1 << 63)
 _PIECES = r"[^.!?]{1,%d}[.!?]*\s?|[.!?]+\s?" % (PIECE - 2)
@@ -44,10 +43,10 @@ def merkle(text: Column) -> Column:
 
 
 def fingerprint(tree: Column) -> Column:
-    """``root:sketch`` of a tree."""
+    """``root:leaves`` of a tree."""
     pieces = F.flatten(F.transform(tree, lambda s: F.flatten(s["paragraphs"]["pieces"])))
-    sketch = F.slice(F.sort_array(F.array_distinct(F.transform(pieces, lambda p: F.substring(p, 1, 8)))), 1, SKETCH)
-    return F.concat(_node(tree["hash"]), F.lit(":"), F.concat_ws(",", sketch))
+    leaves = F.sort_array(F.array_distinct(F.transform(pieces, lambda p: F.substring(p, 1, DIGITS))))
+    return F.concat(_node(tree["hash"]), F.lit(":"), F.concat_ws(",", leaves))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -56,13 +55,10 @@ def likeness(a: Column, b: Column) -> Column:
         return F.get(F.transform(F.array(value), f), 0)
 
     def dice(s: Column) -> Column:
-        u, v = (F.filter(s[k], lambda h: h <= s["top"]) for k in ("x", "y"))
-        return let(F.struct(F.size(F.array_intersect(u, v)).alias("both"), (F.size(u) + F.size(v)).alias("all")), lambda c: 2.0 * c["both"] / F.greatest(c["all"], F.lit(1)))
+        return 2.0 * F.size(F.array_intersect(s["x"], s["y"])) / F.greatest(F.size(s["x"]) + F.size(s["y"]), F.lit(1))
 
-    # a full sketch knows the hashes up to its last one only
-    last = lambda s: F.when(F.size(s) >= SKETCH, F.element_at(s, -1)).otherwise("g")
     parsed = F.struct(*[F.filter(F.split(F.substring_index(f, ":", -1), ","), lambda h: h != "").alias(k) for f, k in ((a, "x"), (b, "y"))])
-    near = let(let(parsed, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), F.least(last(s["x"]), last(s["y"])).alias("top"))), dice)
+    near = let(parsed, dice)
     return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.lit(1.0)).otherwise(F.least(near, F.lit(0.999999)))
 
 

@@ -46,7 +46,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = edited_fingerprints(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.size("edits").cast("long").alias("n_edits"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,6 +239,15 @@ def test_fingerprints(spark, docs):
     assert fingerprints(odd).select("fingerprint").distinct().count() == 3
 
 
+def test_likeness_counts_every_piece(spark):
+    lines = [f"Line {k} of text.\n" for k in range(300)]
+    texts = {0: lines, 1: lines[:299] + ["Other end.\n"], 2: [f"New {k}.\n" for k in range(280)] + lines[:20]}
+    rows = [(k, "".join(x)) for k, x in texts.items()]
+    got = by_id(edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")))
+    dice = lambda a, b: 2 * len(set(a) & set(b)) / (len(set(a)) + len(set(b)))
+    assert [got[k].near_next for k in range(3)] == pytest.approx([dice(texts[k], texts[(k + 1) % 3]) for k in range(3)])
+
+
 def test_differing_branches_locate_edits(spark):
     before, after = "One. Two.\nThree.\n\nFour.\nFive.\n\nSix.", "One. Two.\nThree.\n\nFour.\nFife.\n\nSix."
     row = spark.createDataFrame([(before, after)], "a string, b string").select(locate_edits(merkle(F.col("a")), merkle(F.col("b"))).alias("e")).first()

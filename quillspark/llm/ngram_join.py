@@ -1,25 +1,33 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
 The global order of n-grams is the order of their 64-bit hashes. It is cut into fragments, contiguous ranges of the
-order, so each document falls into one segment for each fragment. For two documents of similarity ``threshold``, the
-symmetric difference of their n-gram sets has at most ``D`` n-grams, a number that their sizes bound; with more than
-``D`` fragments they agree in some segments, which are found by hash. Of a document's segments only the ``D + 1`` rarest
-are needed to meet every partner, so common ones (empty segments, boilerplate) seldom make candidates. Candidates are
-then verified: partial overlaps are counted for each fragment apart (equal segments count whole, only differing ones are
-compared) and summed for each pair. Nothing is capped, and the result is exact but for 64-bit hash collisions.
-
-Groups of any size are handled without all their pairs. Equal sets fall together first. Documents that share a
-segment are compared with one of them, the hub (smallest id). Only groups that still hold documents of different
-components go on: small ones as pairs across components, large ones by the rarest of finer segments, where enough
-segments are taken that no similar pair is missed. Numbers of links need every pair: once components are known, the
-remaining pairs inside them, of different sets, are found and verified the same way, and equal sets are counted.
+order, so each document falls into one segment for each fragment. Overlaps are partial, one for each fragment, and
+summed for each pair.
+
+Candidates come from the partial overlaps that are full, where two segments are equal: the symmetric difference of two
+sets of similarity ``threshold`` has at most ``D`` n-grams, a number that their sizes bound, so with more than ``D``
+fragments some partial overlap is full. Of a document's segments only the ``D + 1`` rarest are needed to meet every
+partner, so common ones (empty segments, boilerplate) seldom make candidates. The other partial overlaps are counted
+for candidates only: for each fragment apart (equal segments count whole, only differing ones are compared), then
+summed. To count every n-gram that two documents share would put all pairs of a common n-gram in a row; the bound makes
+that needless. Nothing is capped, and the result is exact but for 64-bit hash collisions.
+
+The nodes of the join are distinct sets, named by a hash, so documents with equal sets are one node from the start and
+texts are read once for all keys. Groups of any size are handled without all their pairs. Sets that share a segment are
+compared with one of them, the hub. Only groups that still hold sets of different components go on: small ones as
+pairs across components, large ones by the rarest of finer segments, where enough segments are taken that no similar
+pair is missed. Numbers of links need every pair inside a component: its sets are written as differences from one of
+them, dealt out in blocks, and two blocks at a time are counted as a matrix; only sums for each set leave a task.
 
 Defined cases: null or blank texts and null ids have no n-grams or no node and link with nothing (component: the own
-id); a document with fewer than n words has its whole sequence as its only n-gram; repeated ids are one node.
+id); a document with fewer than n words has its whole sequence as its only n-gram; rows that share an id are in one
+component, whatever their texts; very long texts are one set like others, and ties between keys are broken by the key;
+repeated rows are rows, each linked with the others; extra columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -35,10 +43,12 @@ from quillspark.llm.runtime import Scratch, documents, prepare, small
 FRAGMENTS = 64
 #: Sizes of a class differ by at most this factor; each class has its own number of fragments for candidates.
 CLASS_GROWTH = 1.5
-#: Keys held more than once that are broadcast at most (two longs each); beyond it the join shuffles.
-SHARED_ROWS = 200_000
-#: Groups of at most so many documents are paired as they are.
+#: Groups of at most so many sets are paired as they are.
 FEW = 16
+#: Sets of a block, and differing n-grams in it, where links inside a component are counted.
+BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 20
+#: Sets that a task remembers, so that the keys of equal sets leave it once.
+REMEMBERED = 1 << 19
 
 
 def gram_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -48,6 +58,13 @@ def gram_set(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(W.grams(words, min(n, len(words))))
 
 
+def set_name(grams: np.ndarray) -> int:
+    """A hash of the whole set, as a signed long."""
+    one, two = (np.add.reduce(W.mix(grams, salt)) for salt in (11, 12))
+    name = W.mix(np.array([one, two, len(grams)], W.U), 13)
+    return int(W.signed(W.mix(name[:1] ^ (name[1:2] << W.U(1)) ^ (name[2:] << W.U(2)), 14))[0])
+
+
 class Classes:
     """Size classes [edge[c], edge[c+1]) and each one's bound of differing n-grams."""
 
@@ -91,47 +108,67 @@ def fragment_cuts(grams: np.ndarray, count: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(grams, edges), [len(grams)]]).astype(np.int64)
 
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64())])
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digests", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("segments", pa.list_(pa.list_(pa.int64())))])
+def class_keys(grams: np.ndarray, classes: Classes, fine: bool) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(class, need, keys) for each size class in which a set can have partners.
+
+    ``need`` is one more than the segments in which a similar pair can differ.
+    """
+    if len(grams) < classes.least:
+        return
+    t = classes.t
+    for c in classes.of(len(grams)):
+        count = 4 * classes.most_apart(c) + 2 if fine else classes.most_apart(c) * 106 // 100 + 3
+        most = len(grams) + min(len(grams) * 100 // t, classes.edge(c + 1) - 1)
+        yield c, most * (100 - t) // (100 + t) + 1, W.signed(segment_keys(grams, c, count, 5 if fine else 3))
+
+
+SETS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("digests", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("segments", pa.list_(pa.list_(pa.int64())))])
+CLASS_SQL = "array<struct<class:int,need:int,keys:array<long>>>"
+PARSED_SQL = f"doc_id long, node long, n_shingles long, classes {CLASS_SQL}"
+FINE_SQL = f"node long, n long, classes {CLASS_SQL}"
+SETS_SQL = "node long, n long, digests array<long>, counts array<int>, segments array<array<long>>"
+GRAMS_SQL = "node long, n long, grams binary"
+
+
+def class_lists(rows: list[list[tuple[int, int, np.ndarray]]]) -> pa.ListArray:
+    flat = [x for row in rows for x in row]
+    inner = pa.StructArray.from_arrays([pa.array([c for c, _, _ in flat], pa.int32()), pa.array([n for _, n, _ in flat], pa.int32()), W.lists([k for *_, k in flat])], ["class", "need", "keys"])
+    at = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(row) for row in rows], out=at[1:])
+    return pa.ListArray.from_arrays(pa.array(at), inner)
+
 
+def parsed(n: int, threshold: int):
+    """(doc_id, text) -> a row for each: its set's name and size, and, where a task meets a set first, its segments' keys."""
 
-def sketches(n: int):
     def run(batches):
+        classes, known = Classes(threshold), set()
         for batch in batches:
-            sizes, f1, f2 = [], [], []
-            for _, words in W.per_row(batch.column(1), True):
+            ids = batch.column(0).cast(pa.int64())
+            sizes, names, keys = [], [], []
+            for k, words in W.per_row(batch.column(1), True):
                 grams = gram_set(words, n)
-                sizes.append(len(grams))
-                f1.append(np.add.reduce(W.mix(grams, 11)) if len(grams) else W.U(0))
-                f2.append(np.add.reduce(W.mix(grams, 12)) if len(grams) else W.U(0))
-            ints = lambda v: pa.array(np.array(v, W.U).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), ints(f1), ints(f2)], schema=SKETCH)
+                name = set_name(grams)
+                first = name not in known and ids[k].is_valid
+                if first:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known.add(name)
+                sizes.append(len(grams)), names.append(name), keys.append(list(class_keys(grams, classes, False)) if first else [])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), class_lists(keys)], names=["doc_id", "node", "n_shingles", "classes"])
 
     return run
 
 
-def class_keys(n: int, threshold: int, fine: bool):
-    """(doc_id, text) -> a row for each size class in which a document can have partners, with its segments' keys.
-
-    ``need`` is one more than the segments in which a similar pair can differ.
-    """
-
+def fine_keys(n: int, threshold: int):
     def run(batches):
         classes = Classes(threshold)
         for batch in batches:
-            ids, at, need, size, keys = [], [], [], [], []
-            names = batch.column(0).to_pylist()
-            for k, words in W.per_row(batch.column(1), True):
+            names, sizes, keys = [], [], []
+            for _, words in W.per_row(batch.column(1), True):
                 grams = gram_set(words, n)
-                if len(grams) < classes.least:
-                    continue
-                for c in classes.of(len(grams)):
-                    count = 4 * classes.most_apart(c) + 2 if fine else classes.most_apart(c) * 106 // 100 + 3
-                    most = len(grams) + min(len(grams) * 100 // threshold, classes.edge(c + 1) - 1)
-                    ids.append(names[k]), at.append(c), size.append(len(grams))
-                    keys.append(W.signed(segment_keys(grams, c, count, 5 if fine else 3)))
-                    need.append(most * (100 - threshold) // (100 + threshold) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(need, pa.int32()), pa.array(size, pa.int64()), W.lists(keys)], names=["doc_id", "class", "need", "n", "keys"])
+                names.append(set_name(grams)), sizes.append(len(grams)), keys.append(list(class_keys(grams, classes, True)))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), class_lists(keys)], names=["node", "n", "classes"])
 
     return run
 
@@ -141,27 +178,81 @@ def segment_sets(n: int):
         for batch in batches:
             for start in range(0, len(batch), 100):  # whole sets are large: few rows at a time
                 part = batch.slice(start, 100)
-                sizes, digests, counts, flat, ends = [], [], [], [], [0]
+                names, sizes, digests, counts, flat, ends = [], [], [], [], [], [0]
                 for _, words in W.per_row(part.column(1), True):
                     grams = gram_set(words, n)
                     cuts = fragment_cuts(grams, FRAGMENTS)
                     sums = np.zeros(len(grams) + 1, W.U)
                     np.cumsum(W.mix(grams, 1), out=sums[1:])
-                    sizes.append(len(grams))
+                    names.append(set_name(grams)), sizes.append(len(grams))
                     digests.append(W.signed(sums[cuts[1:]] - sums[cuts[:-1]]))
                     counts.append(np.diff(cuts).astype(np.int32))
                     ends.extend(ends[-1] + cuts[1:])
                     flat.append(W.signed(grams))
                 inner = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
                 outer = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * FRAGMENTS), inner)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), W.lists(digests), W.lists(counts, np.int32), outer], schema=SETS)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), W.lists(digests), W.lists(counts, np.int32), outer], schema=SETS)
 
     return run
 
 
-SKETCH_SQL = "doc_id long, n_shingles long, f1 long, f2 long"
-KEYS_SQL = "doc_id long, class int, need int, n long, keys array<long>"
-SETS_SQL = "doc_id long, n long, digests array<long>, counts array<int>, segments array<array<long>>"
+def gram_sets(n: int):
+    def run(batches):
+        for batch in batches:
+            for start in range(0, len(batch), 100):
+                part = batch.slice(start, 100)
+                sets = [gram_set(words, n) for _, words in W.per_row(part.column(1), True)]
+                yield pa.RecordBatch.from_arrays([pa.array([set_name(g) for g in sets], pa.int64()), pa.array([len(g) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], names=["node", "n", "grams"])
+
+    return run
+
+
+def differences(batches):
+    """(label, node, n, held, grams, base) -> what a set and the one that names its component don't share, and how many of the latter's n-grams it lacks."""
+    for batch in batches:
+        lost, apart = [], []
+        for mine, base in zip(batch.column(4), batch.column(5), strict=True):
+            x, y = (np.frombuffer(b.as_buffer(), W.U) for b in (mine, base))
+            gone = np.setdiff1d(y, x, assume_unique=True)
+            lost.append(len(gone)), apart.append(W.signed(np.concatenate([gone, np.setdiff1d(x, y, assume_unique=True)])))
+        base_n = pa.array([len(b.as_buffer()) // 8 for b in batch.column(5)], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], base_n, pa.array(lost, pa.int64()), W.lists(apart)], names=["label", "node", "n", "held", "base_n", "lost", "apart"])
+
+
+def shared_counts(rows: pa.ListArray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many members each of the left lists has in common with each of the right ones."""
+    lengths = np.diff(rows.offsets.to_numpy())
+    grams = rows.values.to_numpy()[rows.offsets[0].as_py() : rows.offsets[-1].as_py()]
+    owner = np.repeat(np.arange(len(rows)), lengths)
+    _, at, times = np.unique(grams, return_inverse=True, return_counts=True)
+    keep = times[at] > 1  # what one list alone holds is shared by none
+    owner, at = owner[keep], np.unique(at[keep], return_inverse=True)[1]
+    out = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    width = 4096
+    for start in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        a, b = np.searchsorted(at, [start, start + width])
+        held = np.zeros((len(rows), width), np.float32)
+        held[owner[a:b], at[a:b] - start] = 1
+        out += held[left] @ held[right].T
+    return out
+
+
+def block_links(threshold: int):
+    """Two blocks of a component (or one and itself) -> for each set, how many rows of the other block link with it."""
+
+    def run(key, table):
+        x, y = key[1].as_py(), key[2].as_py()
+        own, node, n, held, base, lost = (table.column(c).to_numpy() for c in ("own", "node", "n", "held", "base_n", "lost"))
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        both = base[left][:, None] - lost[left][:, None] - lost[right][None] + shared_counts(table.column("apart").combine_chunks(), left, right)
+        link = 100 * both >= threshold * (n[left][:, None] + n[right][None] - both)
+        link &= node[left][:, None] != node[right][None]
+        found = [(node[left], link @ held[right])] + ([] if x == y else [(node[right], held[left] @ link)])
+        return pa.table({"node": np.concatenate([a for a, _ in found]), "near": np.concatenate([b for _, b in found]).astype(np.int64)})
+
+    return run
 
 
 class Join:
@@ -171,13 +262,22 @@ class Join:
         self.scratch, self.docs, self.n, self.t = Scratch(self.spark), documents(docs, "doc_id", "text"), n, threshold
         self.counts = counts
 
+    def texts(self, nodes: DataFrame) -> DataFrame:
+        """A (doc_id, text) row for each of ``nodes(node)``; rows that share an id bring their other sets too."""
+        ids = self.scratch.save(nodes.join(self.sets, "node").select(F.col("first").alias("doc_id")).distinct(), "ids")
+        return self.docs.join(small(ids), "doc_id", "left_semi")
+
+    def of_nodes(self, nodes: DataFrame, maker, schema: str) -> DataFrame:
+        """What ``maker`` makes of the sets' texts, one row for each of ``nodes``."""
+        rows = self.texts(nodes).mapInArrow(maker, schema)
+        return rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]) if self.repeated else rows
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of similarity of at least the threshold."""
         save, t = self.scratch.save, self.t
-        both = save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-        texts = self.docs.join(small(both), "doc_id", "left_semi").dropDuplicates(["doc_id"]) if self.repeated else self.docs.join(small(both), "doc_id", "left_semi")
-        sets = save(texts.mapInArrow(segment_sets(self.n), SETS_SQL), "sets")
-        side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("digests").alias(f"d{x}"), F.col("counts").alias(f"c{x}"))
+        both = save(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
+        sets = save(self.of_nodes(both, segment_sets(self.n), SETS_SQL), "sets")
+        side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("digests").alias(f"d{x}"), F.col("counts").alias(f"c{x}"))
         enough = lambda inter, union: inter * 100 >= union * t
         frags = F.arrays_zip(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)).alias("k"), F.col("da"), F.col("db"), F.col("ca"), F.col("cb"))
         joined = pairs.join(side("a"), "a").join(side("b"), "b").filter(enough(F.least("na", "nb"), F.greatest("na", "nb"))).withColumn("f", frags)
@@ -194,111 +294,111 @@ class Join:
         )
         sure = judged.filter("sure").select("a", "b")
         open_ = judged.filter("not sure")
-        cut = lambda x: sets.select(F.col("doc_id").alias(x), F.posexplode("segments").alias("k", f"s{x}"))
+        cut = lambda x: sets.select(F.col("node").alias(x), F.posexplode("segments").alias("k", f"s{x}"))
         partial = (
             open_.select("a", "b", F.explode("differ").alias("k")).join(cut("a"), ["a", "k"]).join(cut("b"), ["b", "k"])
             .groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("sa", "sb"))).alias("partial"))
         )
         summed = open_.join(partial, ["a", "b"]).withColumn("inter", F.col("equal") + F.col("partial"))
         out = save(sure.union(summed.filter(enough(F.col("inter"), F.col("size") - F.col("inter"))).select("a", "b")), "links")
-        self.scratch.drop("sets", "judged", "ids")
+        self.scratch.drop("sets", "judged", "ids", "wanted")
         return out
 
+    def front(self, keys: DataFrame) -> DataFrame:
+        """``keys(node, class, need, parts, key, ...)`` -> those that several nodes hold and that are among a node's ``need`` rarest, with place ``at``.
+
+        Keys that one node holds come first in the order and go at once; most keys are such.
+        """
+        often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key", "held")
+        shared = keys.join(self.scratch.save(often, "often"), "key").repartition("node", "class").dropDuplicates(["node", "class", "key"])
+        one = Window.partitionBy("node", "class")
+        rank = F.col("parts") - F.count(F.lit(1)).over(one) + F.row_number().over(one.orderBy("held", "key"))
+        return shared.withColumn("at", rank).filter("at <= need")
+
     def rarest(self, rest: DataFrame) -> DataFrame:
-        """(key, doc_id, label) of large groups -> the same with keys of finer segments, rarest first, as many as decide.
+        """(key, node, label) of large groups -> the same with keys of finer segments, rarest first, as many as decide.
 
         Of a class's fine segments a pair can differ in ``need - 1`` at most, so among the ``need`` rarest of each side
         there is a common one; ``before`` holds the segments that come before it. At a pair's first common one, both have
-        differed in all of these, which ``across`` checks against the sizes. Documents of one group that differ in more
-        than a few places have rarer segments in front.
+        differed in all of these, which ``across`` checks against the sizes. Sets of one group that differ in more than a
+        few places have rarer segments in front.
         """
         save = self.scratch.save
-        named = save(rest.select("doc_id", "label").distinct(), "named")
-        texts = self.docs.join(small(named.select("doc_id")), "doc_id", "left_semi")
-        fine = save((texts.dropDuplicates(["doc_id"]) if self.repeated else texts).mapInArrow(class_keys(self.n, self.t, True), KEYS_SQL), "fine")
-        keys = fine.select("doc_id", "class", "need", "n", F.posexplode("keys").alias("part", "key"))
+        named = save(rest.select("node", "label").distinct(), "named")
+        fine = save(self.of_nodes(named.select("node"), fine_keys(self.n, self.t), FINE_SQL), "fine").select("node", "n", F.explode("classes").alias("c"))
+        keys = fine.select("node", "n", "c.class", "c.need", F.posexplode("c.keys").alias("part", "key"))
         often = save(keys.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "often")
-        order = Window.partitionBy("doc_id", "class").orderBy(F.coalesce("held", F.lit(1)), "key")
-        ranked = keys.join(often, "key", "left").withColumn("at", F.row_number().over(order)).withColumn("before", F.collect_list("part").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-        return ranked.filter("at <= need and held > 1").join(small(named), "doc_id").select("key", "doc_id", "label", "n", "before")
+        one = Window.partitionBy("node", "class")
+        ranked = keys.join(often, "key", "left").withColumn("at", F.row_number().over(one.orderBy(F.coalesce("held", F.lit(1)), "key"))).filter("at <= need")
+        ranked = ranked.withColumn("before", F.collect_list("part").over(one.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)))
+        return ranked.filter("held > 1").join(named, "node").select("key", "node", "label", "n", "before")
 
-    def inside(self, named: DataFrame, known: DataFrame) -> DataFrame:
-        """(key, doc_id, label) of front keys -> the links inside components that are not among the known pairs."""
-        save = self.scratch.save
-        groups = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        rest = save(named.join(groups, ["key", "label"]), "within")
-        few = rest.filter(f"size <= {FEW}").select("key", "doc_id", "label", F.lit(0).alias("n"), F.array().cast("array<int>").alias("before"))
-        keyed = few.union(self.rarest(rest.filter(f"size > {FEW}"))).withColumn("key", F.xxhash64("key", "label"))
-        pairs = save(across(keyed, self.t, alike=True).distinct().join(known, ["a", "b"], "left_anti"), "all_pairs")
-        return self.verified(pairs)
-
-    def degrees(self, links: DataFrame, copies: DataFrame, equal: DataFrame) -> DataFrame:
-        """``node, n_links`` from the links between different sets, where a set counts for each document that holds it."""
-        held = equal.select(F.col("first").alias("node"), F.col("n").alias("held"))
-        both = links.select(F.col("a").alias("of"), F.col("b").alias("node")).union(links.select("b", "a"))
-        near = both.join(held, "node", "left").groupBy(F.col("of").alias("node")).agg(F.sum(F.coalesce("held", F.lit(1))).alias("near"))
-        one = near.join(held, "node", "full").select("node", (F.coalesce("near", F.lit(0)) + F.coalesce("held", F.lit(1)) - 1).alias("n_links"))
-        one = self.scratch.save(one, "degrees")
-        return one.union(copies.join(one, copies.a == one.node).select("b", "n_links"))
+    def inside(self, label: DataFrame) -> DataFrame:
+        """``label(node, label)`` -> ``node, near``: the rows of other sets of the same component that link with each set."""
+        save, t = self.scratch.save, self.t
+        named = save(label.join(self.sets.select("node", "held"), "node"), "named")
+        grams = save(self.of_nodes(named.select("node"), gram_sets(self.n), GRAMS_SQL), "grams")
+        base = grams.select(F.col("node").alias("label"), F.col("grams").alias("base"))
+        joined = named.join(grams, "node").join(base, "label").select("label", "node", "n", "held", "grams", "base")
+        apart = save(joined.mapInArrow(differences, "label long, node long, n long, held long, base_n long, lost long, apart array<long>"), "apart")
+        sizes = apart.groupBy("label").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.size("apart")).alias("total"))
+        blocks = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("total") / BLOCK_GRAMS)).cast("int")
+        dealt = apart.join(sizes, "label").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        placed = dealt.select("label", "own", other, "node", "n", "held", "base_n", "lost", "apart")
+        found = placed.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).groupBy("label", "x", "y").applyInArrow(block_links(t), "node long, near long")
+        return found.groupBy("node").agg(F.sum("near").alias("near"))
+
+    def degrees(self, links: DataFrame, label: DataFrame) -> DataFrame:
+        """``node, near``: the rows of other sets that link with each set, from pairs between components and counts inside them."""
+        held = self.sets.select(F.col("node").alias("b"), "held")
+        between = links.union(links.select("b", "a")).join(held, "b").groupBy(F.col("a").alias("node")).agg(F.sum("held").alias("near"))
+        return self.scratch.save(between.union(self.inside(label)).groupBy("node").agg(F.sum("near").alias("near")), "degrees")
 
     def run(self) -> DataFrame:
-        save = self.scratch.save
-        sketch = save(self.docs.mapInArrow(sketches(self.n), SKETCH_SQL), "sketch")
-        with_set = sketch.filter("n_shingles > 0 and doc_id is not null")
-        ids = with_set.agg(F.count(F.lit(1)), F.approx_count_distinct("doc_id", 0.02)).first()
-        self.repeated = ids[1] < 0.9 * ids[0] or with_set.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-        equal = save(with_set.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "equal")
-        copies = save(
-            with_set.select("doc_id", "f1", "f2", "n_shingles").join(equal.drop("n"), ["f1", "f2", "n_shingles"]).filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")),
-            "copies",
-        )
-        apart = self.docs.filter("doc_id is not null").join(small(copies.select(F.col("b").alias("doc_id"))), "doc_id", "left_anti")
-        rows = (apart.dropDuplicates(["doc_id"]) if self.repeated else apart).mapInArrow(class_keys(self.n, self.t, False), KEYS_SQL)
-        keys = rows.select("doc_id", "class", "need", F.size("keys").alias("parts"), F.explode("keys").alias("key"))
-        often = save(keys.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "often")
-        # of the keys, most are held once and go here; the table of the others is broadcast only if it is small
-        shared = save(keys.join(small(often, SHARED_ROWS), "key"), "shared")
-        one = Window.partitionBy("doc_id", "class")
-        rank = F.col("parts") - F.count(F.lit(1)).over(one) + F.row_number().over(one.orderBy("held", "key"))
-        shared = save(shared.withColumn("at", rank).filter("at <= need").select("key", "doc_id"), "front")
-        hubs = shared.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("far")).filter("hub < far").select("key", "hub")
-        pairs = save(shared.join(save(hubs, "hubs"), "key").filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+        save, scratch = self.scratch.save, self.scratch
+        rows = save(self.docs.mapInArrow(parsed(self.n, self.t), PARSED_SQL), "parsed")
+        with_set = rows.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "node")
+        self.sets = save(with_set.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("held")), "nodes")
+        ids = save(with_set.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("a")).filter("rows > 1"), "repeated")
+        self.repeated = ids.limit(1).count() > 0
+        tied = with_set.join(ids, "doc_id").filter("a <> node").select("a", F.col("node").alias("b")).distinct()  # sets of one id
+        keys = rows.select("node", F.explode("classes").alias("c")).select("node", "c.class", "c.need", F.size("c.keys").alias("parts"), F.explode("c.keys").alias("key"))
+        shared = save(self.front(keys).select("key", "node"), "front")
+        hubs = shared.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub < far").select("key", "hub")
+        pairs = save(shared.join(save(hubs, "hubs"), "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
         links = self.verified(pairs)
-        label = small(components(links, self.scratch))
-        named = shared.join(label, shared.doc_id == label.node, "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+        label = components(links, scratch)
+        known = label.withColumnRenamed("node", "of")
+        named = save(shared.join(known, shared.node == known.of, "left").select("key", "node", F.coalesce("label", "node").alias("label")), "named_front")
         mixed = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("size")).filter("least < most").select("key", "size")
-        rest = save(named.join(mixed, "key"), "rest")
-        few = rest.filter(f"size <= {FEW}").select("key", "doc_id", "label", F.lit(0).alias("n"), F.array().cast("array<int>").alias("before"))
+        rest = save(named.join(save(mixed, "mixed"), "key"), "rest")
+        few = rest.filter(f"size <= {FEW}").select("key", "node", "label", F.lit(0).alias("n"), F.array().cast("array<int>").alias("before"))
         found = across(few.union(self.rarest(rest.filter(f"size > {FEW}"))), self.t)
-        more = save(found.distinct().join(pairs, ["a", "b"], "left_anti"), "more")
-        if more.limit(1).count():
-            links = links.union(self.verified(more))
-        if self.counts:
-            links = links.union(self.inside(named, pairs))
-        self.links = links.union(copies)
-        label = components(self.links, self.scratch)
-        degree = self.degrees(links, copies, equal) if self.counts else label.select("node", F.lit(None).cast("long").alias("n_links"))
-        found = save(label.join(degree, "node", "left").select("node", "label", "n_links"), "found")
-        none = F.lit(0 if self.counts else None).cast("long")
-        return (
-            sketch.select("doc_id", "n_shingles").join(small(found), F.col("doc_id") == F.col("node"), "left")
-            .select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"), F.coalesce("n_links", none).alias("n_links"))
-        )
+        between = self.verified(save(found.distinct().join(pairs, ["a", "b"], "left_anti"), "more"))
+        joined = components(links.union(between).union(tied), scratch)
+        whole = self.sets.join(joined, "node", "left").withColumn("label", F.coalesce("label", "node")).join(self.degrees(between, label), "node", "left") if self.counts else self.sets.join(joined, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("near", F.lit(None).cast("long"))
+        least = whole.groupBy("label").agg(F.min("first").alias("component_id"))
+        links_ = F.coalesce("near", F.lit(0)) + F.col("held") - 1 if self.counts else F.lit(None).cast("long")
+        named = save(whole.join(least, "label").select("node", "component_id", links_.alias("n_links")), "found")
+        linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+        out = rows.select(F.col("doc_id"), "n_shingles", F.when(linked, F.col("node")).alias("node")).join(named, "node", "left")
+        return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0 if self.counts else None).cast("long")).alias("n_links"))
 
 
-def across(rest: DataFrame, threshold: int, members: int = 64, alike: bool = False) -> DataFrame:
-    """(key, doc_id, label, n, before) -> the pairs of a key whose labels differ (or are ``alike``); large keys are dealt out in salted blocks.
+def across(rest: DataFrame, threshold: int, members: int = 64) -> DataFrame:
+    """(key, node, label, n, before) -> the pairs of a key whose labels differ; large keys are dealt out in salted blocks.
 
     Where sizes are given (n > 0), a pair whose segments ``before`` the key are more than its sizes let differ is left out.
     """
-    sized = rest.join(rest.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key").withColumn("blocks", F.least(F.ceil(F.sqrt(F.col("size") / members)), F.lit(256)).cast("int"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    sized = rest.join(rest.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key").withColumn("blocks", F.ceil(F.sqrt(F.col("size") / members)).cast("int"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     part = lambda x: [F.col(c).alias(f"{c}{x}") for c in ("label", "n", "before")]
-    left = sized.withColumn("own", own).select("key", F.col("own").alias("x"), every.alias("y"), F.col("doc_id").alias("a"), *part("a"))
-    right = sized.withColumn("own", own).select("key", every.alias("x"), F.col("own").alias("y"), F.col("doc_id").alias("b"), *part("b"))
+    left = sized.withColumn("own", own).select("key", F.col("own").alias("x"), every.alias("y"), F.col("node").alias("a"), *part("a"))
+    right = sized.withColumn("own", own).select("key", every.alias("x"), F.col("own").alias("y"), F.col("node").alias("b"), *part("b"))
     allowed = F.floor((F.col("na") + F.col("nb")) * (100 - threshold) / (100 + threshold))
-    on = [left[c] == right[c] for c in ("key", "x", "y")] + [F.expr("a < b"), F.col("labela") == F.col("labelb") if alike else F.col("labela") != F.col("labelb")]
+    on = [left[c] == right[c] for c in ("key", "x", "y")] + [F.expr("a < b"), F.col("labela") != F.col("labelb")]
     near = (F.col("na") == 0) | (F.size(F.array_union("beforea", "beforeb")) <= allowed)
     return left.join(right, [*on, near]).select("a", "b")
 
@@ -307,7 +407,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: int = 80, counts:
     """``docs(doc_id, text, ...)`` -> one row per document: ``doc_id, n_shingles, component_id, n_links``.
 
     Two documents link when 100 * |intersection| >= threshold * |union| of their sets of lower-cased (A-Z) n-word
-    shingles; ``component_id`` is the smallest id that links reach, ``n_links`` the number of all other documents that
-    link with it (null without ``counts``, which spares the pairs inside components).
+    shingles; ``component_id`` is the smallest id that links reach, ``n_links`` the number of all other rows that link
+    with a row (null without ``counts``, which spares the counts inside components).
     """
     return Join(docs, n, threshold, counts).run()

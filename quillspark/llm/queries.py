@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=3, threshold=90).select("doc_id", "n_shingles", "component_id")
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=3, threshold=90)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

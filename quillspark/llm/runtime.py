@@ -33,11 +33,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set, as in tests."""
+    """The cluster's checkpoint folder; a temporary one only where none is set and all runs in one process."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not context.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not getattr(context, "_quillspark_folder", None):
         context._quillspark_folder = "file://" + tempfile.mkdtemp(prefix="quillspark-shared-")
     return context._quillspark_folder

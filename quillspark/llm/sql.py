@@ -14,8 +14,9 @@ pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b
 links AS (SELECT a, b FROM pairs WHERE 100 * inter >= 90 * (na + nb - inter) UNION ALL
           SELECT b, a FROM pairs WHERE 100 * inter >= 90 * (na + nb - inter)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
-SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, c.component_id
+SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, c.component_id, CAST(coalesce(l.n_links, 0) AS BIGINT) AS n_links
 FROM s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON s.doc_id = c.a
+LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) l ON s.doc_id = l.a
 """
 
 OP2 = f"""

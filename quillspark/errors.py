@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 class QueryError(ValueError):
     """A query that can't be compiled; ``code`` tells why."""
@@ -13,4 +15,12 @@ class QueryError(ValueError):
 
 
 BAD_VALUE, FAILED_TO_PARSE, TYPE_MISMATCH, CONFLICT, NOT_IMPLEMENTED, DUPLICATE_KEY = 2, 9, 14, 40, 238, 11000
-NAMESPACE_NOT_FOUND, NAMESPACE_EXISTS, IMMUTABLE_FIELD, COMMAND_NOT_FOUND = 26, 48, 66, 59
+NAMESPACE_NOT_FOUND, NAMESPACE_EXISTS, IMMUTABLE_FIELD, COMMAND_NOT_FOUND, WRITE_CONFLICT = 26, 48, 66, 59, 112
+
+_CODED = re.compile(r"\[(\d{1,6})\] ([^\n]*)")
+
+
+def caused(error: Exception) -> QueryError | None:
+    """The coded error that a row raised while a plan ran, from Spark's report of it; None for any other failure."""
+    found = _CODED.search(str(error))
+    return QueryError(int(found[1]), found[2].strip()) if found else None

@@ -35,11 +35,15 @@ def rank(v: Column) -> Column:
 
 
 def key(v: Column) -> Column:
-    """Equal for equal values, and in the total order: numbers by value whatever their width."""
+    """Equal for equal values, and in the total order: numbers by value whatever their width.
+
+    Whole numbers that one double stands for (beyond 2**53) are told apart by ``x``, their value as a long.
+    """
     r = rank(v)
     number = F.when(r == V.NUMBER, F.try_variant_get(v, "$", "double")).when(r == V.BOOL, F.try_variant_get(v, "$", "boolean").cast("int").cast("double")).when(r == V.DATE, F.unix_micros(F.try_variant_get(v, "$", "timestamp")).cast("double"))
+    exact = F.when(r == V.NUMBER, F.coalesce(F.try_variant_get(v, "$", "bigint"), F.try_variant_get(v, "$", "double").cast("bigint")))
     text = F.when(r == V.STRING, F.try_variant_get(v, "$", "string")).when(r.isin(V.OBJECT, V.ARRAY), F.to_json(v))
-    return F.struct(r.alias("r"), number.alias("n"), text.alias("t"))
+    return F.struct(r.alias("r"), number.alias("n"), exact.alias("x"), text.alias("t"))
 
 
 def literal(value) -> Column:

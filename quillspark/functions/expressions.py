@@ -8,6 +8,7 @@ fail).
 from __future__ import annotations
 
 import re
+import zoneinfo
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -485,10 +486,31 @@ _FORMATS: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
+def _known_zone(name: str) -> bool:
+    """A region's name, UTC, GMT or Z, or an offset."""
+    if re.fullmatch(r"(UTC|GMT|UT|Z|(UTC|GMT|UT)?[+-]\d{1,2}(:?\d{2}(:?\d{2})?)?)", name):
+        return True
+    names = zoneinfo.available_timezones()
+    return not names or name in names  # without a table of zones here, Spark's own decides
+
+
 @operator("$dateToString", raw=True)
 def _date_to_string(spec, scope):
-    if not isinstance(spec, dict) or "date" not in spec:
+    if not isinstance(spec, dict):
+        raise QueryError(18629, "$dateToString only supports an object as its argument")
+    if "date" not in spec:
         raise QueryError(18628, "Missing 'date' parameter to $dateToString")
+    for key in spec:
+        if key not in ("date", "format", "timezone", "onNull"):
+            raise QueryError(18534, f"Unrecognized parameter to $dateToString: {key}")
+    text = spec["format"] if spec.get("format") is not None else "%Y-%m-%dT%H:%M:%S.%LZ"
+    if not isinstance(text, str):
+        raise QueryError(18533, f"$dateToString requires that 'format' be a string, found: {V.literal(text).type.simpleString()} with value {text}")
+    if len(re.search(r"%*$", text)[0]) % 2:
+        raise QueryError(18535, "Unmatched '%' at end of $dateToString format string")
+    zone_name = spec.get("timezone")
+    if isinstance(zone_name, str) and not zone_name.startswith("$") and not _known_zone(zone_name):
+        raise QueryError(40485, f"$dateToString unrecognized time zone identifier: {zone_name}")
     v = compile_expression(spec["date"], scope)
     if v.kind not in (V.DATE, V.NULL):
         raise QueryError(16006, f"can't convert from {v.type.simpleString()} to Date")
@@ -497,7 +519,7 @@ def _date_to_string(spec, scope):
     local = F.from_utc_timestamp(utc, zone)
     minutes = F.floor((F.unix_seconds(local) - F.unix_seconds(utc)) / 60)
     offset = F.concat(F.when(minutes < 0, "-").otherwise("+"), _pad(2)(F.floor(F.abs(minutes) / 60)), _pad(2)(F.abs(minutes) % 60))
-    parts, text = [], spec.get("format", "%Y-%m-%dT%H:%M:%S.%LZ")
+    parts = []
     for plain, letter in re.findall(r"([^%]+)|%(.)", text):
         if plain:
             parts.append(F.lit(plain))

@@ -82,6 +82,15 @@ def field_condition(value: Value, rest: list[str], spec, scope: Scope, sure: Sur
     return V.all_of(conditions)
 
 
+def _through_array(value: Value, rest: list[str]) -> bool:
+    """Whether the path goes on inside an array's documents."""
+    for name in rest:
+        if value.kind == V.ARRAY:
+            return not name.isdigit()
+        value = child(value, name)
+    return False
+
+
 def along(value: Value, rest: list[str], test: Test) -> Column:
     """The test at a path: through arrays of objects any element may satisfy it; a number is also an index."""
     if not rest:
@@ -234,6 +243,8 @@ def _whole(name: str, argument, value: Value, rest: list[str], scope: Scope, sur
                 return F.lit(False)
             return V.all_of([elem_match(v, w["$elemMatch"], scope) if isinstance(w, dict) and "$elemMatch" in w else equals(v, w) for w in wanted])
 
+        if wanted and _through_array(value, rest):  # each value in any of the array's documents
+            return V.all_of([_whole("$elemMatch", w["$elemMatch"], value, rest, scope, sure) if isinstance(w, dict) and "$elemMatch" in w else along(value, rest, lambda v, w=w: equals(v, w)) for w in wanted])
         return along(value, rest, every)
     if name == "$elemMatch":
         return along(value, rest, lambda v: elem_match(v, argument, scope))

@@ -111,14 +111,18 @@ class Update:
         return fields
 
     def _rename(self, fields: Fields, paths: dict) -> Fields:
-        for old, new in paths.items():
+        """All values are looked up before any is moved, so renames may take each other's names."""
+        found = {}
+        for old in paths:
             value = V.missing()
             for k, name in enumerate(old.split(".")):
                 value = fields.get(name, V.missing()) if k == 0 else child(value, name)
-            if value.missing:
-                continue
+            if not value.missing:
+                found[old] = value
+        for old in found:
             fields = self._edit_fields(fields, old.split("."), lambda v: V.missing(), old, Scope(fields))
-            fields = self._edit_fields(fields, new.split("."), lambda v, value=value: value, new, Scope(fields))
+        for old, value in found.items():
+            fields = self._edit_fields(fields, paths[old].split("."), lambda v, value=value: value, paths[old], Scope(fields))
         return fields
 
     def _edit_fields(self, fields: Fields, parts: list[str], change: Change, path: str, scope: Scope) -> Fields:

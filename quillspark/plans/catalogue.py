@@ -11,7 +11,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillspark.functions.dynamic import Dynamic
 from quillspark.plans.pipeline import run_pipeline
 from quillspark.sources.catalog import distinct, find
 from quillspark.sources.storage import read
@@ -101,8 +103,8 @@ finding("filter_array_any", "embeddings", "SELECT vec_id FROM embeddings WHERE l
 finding("filter_elem_match", "embeddings", "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.2 AND x < 0.21)) > 0", filter={"embedding": {"$elemMatch": {"$gt": 0.2, "$lt": 0.21}}}, projection={"vec_id": 1})
 _WITH_LINES = [{"$lookup": {"from": "lineitem", "localField": "o_orderkey", "foreignField": "l_orderkey", "as": "lines"}}]
 pipeline(
-    "filter_all", "orders", [*_WITH_LINES, {"$match": {"lines.l_returnflag": {"$nin": ["X"]}, "lines.l_linenumber": {"$gte": 2}}}, {"$project": {"o_orderkey": 1}}],
-    "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber >= 2)",
+    "filter_all", "orders", [*_WITH_LINES, {"$match": {"lines.l_returnflag": {"$nin": ["X"]}, "lines.l_linenumber": {"$all": [1, 3]}}}, {"$project": {"o_orderkey": 1}}],
+    "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1) AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 3)",
 )
 pipeline(
     "filter_elem_match_objects", "orders", [*_WITH_LINES, {"$match": {"lines": {"$elemMatch": {"l_returnflag": "R", "l_quantity": {"$gt": 45}}}}}, {"$project": {"o_orderkey": 1}}],
@@ -149,14 +151,14 @@ pipeline(
 )
 pipeline(
     "stage_facet", "orders", [{"$facet": {"status": [{"$sortByCount": "$o_orderstatus"}], "all": [{"$count": "n"}], "big": [{"$match": {"o_totalprice": {"$gt": 300000}}}, {"$count": "n"}]}}],
-    "SELECT (SELECT count(DISTINCT o_orderstatus) FROM orders) AS status, (SELECT count(*) FROM orders) AS all, (SELECT count(*) FROM orders WHERE o_totalprice > 300000) AS big",
-    status="CAST(size(status) AS BIGINT)", all="all[0].n", big="big[0].n",
+    "SELECT (SELECT string_agg(o_orderstatus || '=' || n, ',' ORDER BY n DESC, o_orderstatus) FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)) AS status, (SELECT count(*) FROM orders) AS all, (SELECT count(*) FROM orders WHERE o_totalprice > 300000) AS big",
+    status="array_join(transform(status, x -> concat(x._id, '=', x.count)), ',')", all="all[0].n", big="big[0].n",
 )
 pipeline("stage_sort_limit", "orders", [{"$sort": {"o_totalprice": -1, "o_orderkey": 1}}, {"$limit": 10}, {"$project": {"o_orderkey": 1, "o_totalprice": 1}}], "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
-pipeline("stage_skip", "orders", [{"$sort": {"o_orderkey": 1}}, {"$skip": 100}, {"$limit": 20}, {"$project": {"o_orderkey": 1}}], "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 100")
+pipeline("stage_skip", "orders", [{"$sort": {"o_orderkey": 1}}, {"$skip": 100}, {"$project": {"o_orderkey": 1}}], "SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 100")
 pipeline("stage_sample", "orders", [{"$sample": {"size": 25}}, {"$count": "n"}], "SELECT 25 AS n", n="CAST(n AS INT)")
 pipeline("stage_unwind", "documents", [{"$project": {"doc_id": 1, "line": {"$split": ["$text", "\n"]}}}, {"$unwind": "$line"}, {"$group": {"_id": "$doc_id", "n": {"$sum": 1}}}], "SELECT doc_id AS _id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents) GROUP BY 1")
-pipeline("stage_unwind_index", "embeddings", [{"$unwind": {"path": "$embedding", "includeArrayIndex": "i"}}, {"$match": {"i": {"$lt": 2}}}, {"$project": {"vec_id": 1, "i": 1, "embedding": 1}}], "SELECT vec_id, i - 1 AS i, embedding[i] AS embedding FROM (SELECT vec_id, embedding, unnest([1, 2]) AS i FROM embeddings)", i="CAST(i AS INT)")
+pipeline("stage_unwind_index", "embeddings", [{"$unwind": {"path": "$embedding", "includeArrayIndex": "i"}}, {"$project": {"vec_id": 1, "i": 1, "embedding": 1}}], "SELECT vec_id, i - 1 AS i, embedding[i] AS embedding FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 pipeline(
     "stage_unwind_preserve", "customer",
     [{"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "o"}}, {"$unwind": {"path": "$o", "preserveNullAndEmptyArrays": True, "includeArrayIndex": "at"}}, {"$project": {"c_custkey": 1, "o_orderkey": "$o.o_orderkey"}}],
@@ -185,9 +187,52 @@ pipeline(
     "SELECT r_regionkey, (SELECT count(*) FROM nation WHERE n_nationkey < 5) AS n FROM region",
 )
 pipeline(
-    "stage_lookup_missing_collection", "region", [{"$lookup": {"from": "region", "localField": "nothing", "foreignField": "nothing_either", "as": "x"}}, {"$project": {"r_regionkey": 1, "n": {"$size": "$x"}}}],
+    "stage_lookup_missing_field", "region", [{"$lookup": {"from": "region", "localField": "nothing", "foreignField": "nothing_either", "as": "x"}}, {"$project": {"r_regionkey": 1, "n": {"$size": "$x"}}}],
     "SELECT r_regionkey, CAST((SELECT count(*) FROM region) AS INTEGER) AS n FROM region",
 )
+
+
+def _missing_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = [{"$lookup": {"from": "nowhere", "localField": "r_regionkey", "foreignField": "k", "as": "x"}}, {"$lookup": {"from": "nowhere", "let": {"k": "$r_regionkey"}, "pipeline": [{"$match": {"$expr": {"$eq": ["$k", "$$k"]}}}], "as": "y"}}]
+    return run_pipeline(tables(spark, sf_dir)("region"), [*both, {"$project": {"r_regionkey": 1, "n": {"$add": [{"$size": "$x"}, {"$size": "$y"}]}}}], lambda name: None)
+
+
+QUERIES["stage_lookup_missing_collection"] = Query(_missing_collection, "SELECT r_regionkey, 0 AS n FROM region")
+_LINES_OF = {"from": "lineitem", "let": {"k": "$o_orderkey"}, "as": "x"}
+_OF_ORDER = {"$match": {"$expr": {"$eq": ["$l_orderkey", "$$k"]}}}
+pipeline(
+    "stage_lookup_pipeline_unwind", "orders",
+    [{"$lookup": {**_LINES_OF, "pipeline": [_OF_ORDER, {"$project": {"q": {"$range": [0, "$l_linenumber"]}}}, {"$unwind": "$q"}, {"$match": {"q": {"$gt": 1}}}]}}, {"$project": {"o_orderkey": 1, "n": {"$size": "$x"}, "total": {"$sum": "$x.q"}}}],
+    "SELECT o_orderkey, CAST(count(q) AS INTEGER) AS n, CAST(coalesce(sum(q), 0) AS BIGINT) AS total FROM orders LEFT JOIN (SELECT * FROM (SELECT l_orderkey, unnest(range(0, l_linenumber)) AS q FROM lineitem) WHERE q > 1) ON o_orderkey = l_orderkey GROUP BY 1",
+    n="CAST(n AS INT)", total="CAST(total AS BIGINT)",
+)
+pipeline(
+    "stage_lookup_pipeline_bucket", "orders",
+    [{"$lookup": {**_LINES_OF, "pipeline": [_OF_ORDER, {"$bucket": {"groupBy": "$l_quantity", "boundaries": [0, 10, 30, 100], "output": {"n": {"$sum": 1}}}}]}}, {"$project": {"o_orderkey": 1, "x": 1}}],
+    "SELECT o_orderkey, coalesce(string_agg(b || '=' || n, ',' ORDER BY b), '') AS x FROM orders LEFT JOIN (SELECT l_orderkey, CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 30 THEN 10 ELSE 30 END AS b, count(*) AS n FROM lineitem GROUP BY 1, 2) ON o_orderkey = l_orderkey GROUP BY 1",
+    x="array_join(transform(x, b -> concat(cast(b._id as int), '=', b.n)), ',')",
+)
+pipeline(
+    "stage_lookup_pipeline_nested", "customer",
+    [{"$lookup": {"from": "orders", "let": {"c": "$c_custkey", "m": "$c_acctbal"}, "pipeline": [
+        {"$match": {"$expr": {"$eq": ["$o_custkey", "$$c"]}}},
+        {"$lookup": {**_LINES_OF, "pipeline": [_OF_ORDER, {"$match": {"$expr": {"$gt": ["$l_extendedprice", "$$m"]}}}, {"$count": "n"}]}},
+        {"$project": {"n": {"$sum": "$x.n"}}},
+    ], "as": "o"}}, {"$project": {"c_custkey": 1, "orders": {"$size": "$o"}, "lines": {"$sum": "$o.n"}}}],
+    "SELECT c_custkey, CAST(count(DISTINCT o_orderkey) AS INTEGER) AS orders, CAST(count(l_orderkey) AS BIGINT) AS lines FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_extendedprice > c_acctbal GROUP BY 1",
+    orders="CAST(orders AS INT)", lines="CAST(lines AS BIGINT)",
+)
+pipeline(
+    "stage_lookup_pipeline_sort_by_count", "customer",
+    [{"$lookup": {"from": "orders", "let": {"c": "$c_custkey"}, "pipeline": [{"$match": {"$expr": {"$eq": ["$o_custkey", "$$c"]}}}, {"$sortByCount": "$o_orderstatus"}, {"$limit": 1}], "as": "x"}}, {"$project": {"c_custkey": 1, "most": {"$arrayElemAt": ["$x._id", 0]}}}],
+    "SELECT c_custkey, (SELECT o_orderstatus FROM orders WHERE o_custkey = c_custkey GROUP BY 1 ORDER BY count(*) DESC, o_orderstatus LIMIT 1) AS most FROM customer",
+)
+pipeline(
+    "stage_lookup_pipeline_facet", "nation",
+    [{"$lookup": {"from": "customer", "let": {"k": "$n_nationkey"}, "pipeline": [{"$match": {"$expr": {"$eq": ["$c_nationkey", "$$k"]}}}, {"$facet": {"n": [{"$count": "n"}], "rich": [{"$match": {"c_acctbal": {"$gt": 5000}}}, {"$count": "n"}]}}], "as": "x"}}, {"$unwind": "$x"}, {"$project": {"n_nationkey": 1, "n": {"$sum": "$x.n.n"}, "rich": {"$sum": "$x.rich.n"}}}],
+    "SELECT n_nationkey, count(c_custkey) AS n, CAST(coalesce(sum(CASE WHEN c_acctbal > 5000 THEN 1 ELSE 0 END), 0) AS BIGINT) AS rich FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1",
+    n="CAST(n AS BIGINT)", rich="CAST(rich AS BIGINT)",
+)
 _PARENT = {"$addFields": {"parent": {"$cond": [{"$gt": ["$n_nationkey", 0]}, {"$toInt": {"$floor": {"$divide": [{"$subtract": ["$n_nationkey", 1]}, 3]}}}, None]}}}
 
 
@@ -238,7 +283,7 @@ for _name, _acc, _sql, _post in (
     pipeline(f"acc_{_name}", "events", [{"$group": {"_id": "$event_type", "x": _acc}}], f"SELECT event_type AS _id, {_sql} AS x FROM events GROUP BY 1", x=_post)
 _IN_TIME = {"$sort": {"ts": 1, "event_id": -1}}
 pipeline("acc_first_last", "events", [_IN_TIME, {"$group": {"_id": "$event_type", "first": {"$first": "$event_id"}, "last": {"$last": "$event_id"}}}], "SELECT event_type AS _id, first(event_id ORDER BY ts, event_id DESC) AS first, last(event_id ORDER BY ts, event_id DESC) AS last FROM events GROUP BY 1")
-pipeline("acc_push", "events", [{"$match": {"user_id": {"$lt": 20}}}, _IN_TIME, {"$group": {"_id": "$user_id", "ids": {"$push": "$event_id"}}}], "SELECT user_id AS _id, array_to_string(list(event_id ORDER BY ts, event_id DESC), ',') AS ids FROM events WHERE user_id < 20 GROUP BY 1", ids="array_join(ids, ',')")
+pipeline("acc_push", "events", [_IN_TIME, {"$group": {"_id": "$user_id", "ids": {"$push": "$event_id"}}}], "SELECT user_id AS _id, array_to_string(list(event_id ORDER BY ts, event_id DESC), ',') AS ids FROM events GROUP BY 1", ids="array_join(ids, ',')")
 
 # --- expressions ------------------------------------------------------------------------------------------------------
 
@@ -324,7 +369,7 @@ ON.add("$toDate", {"x": {"$toDate": {"$multiply": ["$o_orderkey", 100000]}}}, {"
 ON.add("$toDouble", {"x": {"$toDouble": "$o_orderkey"}}, {"x": "CAST(o_orderkey AS DOUBLE)"})
 ON.add("$toInt", {"x": {"$toInt": "$o_totalprice"}}, {"x": "CAST(trunc(o_totalprice) AS INTEGER)"})
 ON.add("$toLong", {"x": {"$toLong": "$o_orderdate"}}, {"x": "epoch_ms(o_orderdate)"})
-ON.add("$toObjectId", {"x": {"$toObjectId": {"$literal": "507f1f77bcf86cd799439011"}}}, {"x": "'507f1f77bcf86cd799439011'"})
+ON.add("$toObjectId", {"x": {"$toObjectId": {"$concat": ["507f1f77bcf86cd7", {"$substrCP": [{"$toString": {"$add": ["$o_orderkey", 10000000]}}, 0, 8]}]}}}, {"x": "'507f1f77bcf86cd7' || substr(CAST(o_orderkey + 10000000 AS VARCHAR), 1, 8)"})
 ON.add("$toString", {"x": {"$toString": "$o_orderkey"}}, {"x": "CAST(o_orderkey AS VARCHAR)"})
 
 # --- find -------------------------------------------------------------------------------------------------------------
@@ -335,4 +380,26 @@ finding("find_projection_slice", "embeddings", "SELECT vec_id, array_to_string([
 finding("find_projection_elem_match", "embeddings", "SELECT vec_id, list_filter(embedding, lambda e: CAST(e AS DOUBLE) > 0.2)[1] AS embedding FROM embeddings", {"embedding": "get(embedding, 0)"}, projection={"vec_id": 1, "embedding": {"$elemMatch": {"$gt": 0.2}}})
 QUERIES["find_count"] = Query(lambda spark, d: find(tables(spark, d)("lineitem"), {"l_returnflag": "R"}).selectExpr("count(*) AS n"), "SELECT count(*) AS n FROM lineitem WHERE l_returnflag = 'R'")
 QUERIES["find_distinct"] = Query(lambda spark, d: distinct(tables(spark, d)("orders"), "o_orderpriority", {"o_totalprice": {"$gt": 1000}}), "SELECT DISTINCT o_orderpriority AS value FROM orders WHERE o_totalprice > 1000")
-pipeline("json_props", "events", [{"$match": {"props": {"$regex": "\"k\": 8"}}}, {"$project": {"event_id": 1}}], "SELECT event_id FROM events WHERE props LIKE '%\"k\": 8%'")
+
+
+def _json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of any shape: ``props`` parsed, with the event's id as a field of its own."""
+    events = tables(spark, sf_dir)("events")
+    whole = events.select(F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "props": '), F.coalesce("props", F.lit("null")), F.lit("}")).alias("j"))
+    found = Dynamic.from_json(whole, "j").match({"props.k": {"$gte": 5}})
+    return found.df.select(F.try_variant_get("doc", "$.id", "bigint").alias("event_id"), F.try_variant_get("doc", "$.props.k", "bigint").alias("k"))
+
+
+QUERIES["json_props"] = Query(_json_props, "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events WHERE CAST(props->>'$.k' AS BIGINT) >= 5")
+finding("find_projection_positional", "embeddings", "SELECT vec_id, embedding[1] AS embedding FROM embeddings WHERE len(list_filter(embedding, lambda e: CAST(e AS DOUBLE) > 0.2)) > 0", {"embedding": "get(embedding, 0)"}, filter={"embedding": {"$gt": 0.2}}, projection={"vec_id": 1, "embedding.$": 1})
+finding("find_key_order", "orders", "SELECT o_orderkey FROM orders", sort={"o_orderkey": 1}, projection={"o_orderkey": 1})
+pipeline("expr_variables", "orders", [{"$project": {"k": "$$ROOT.o_orderkey", "c": "$$CURRENT.o_custkey", "now": {"$gt": ["$$NOW", DAY(2020, 1, 1)]}, "same": {"$eq": ["$$NOW", "$$NOW"]}}}], "SELECT o_orderkey AS k, o_custkey AS c, TRUE AS now, TRUE AS same FROM orders")
+
+
+def _dbref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of the form ``{$ref, $id}`` are compared as values, not as operators."""
+    refs = tables(spark, sf_dir)("supplier").withColumn("ref", F.struct(F.lit("nation").alias("$ref"), F.col("s_nationkey").alias("$id")))
+    return find(refs, {"ref": {"$ref": "nation", "$id": 7}}, {"s_suppkey": 1})
+
+
+QUERIES["filter_dbref"] = Query(_dbref, "SELECT s_suppkey FROM supplier WHERE s_nationkey = 7")

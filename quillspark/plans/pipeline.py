@@ -72,6 +72,10 @@ def compile_stages(context: Context, pipeline: list[dict]) -> Context:
             context, used = merged
             k += 1 + used
             continue
+        if name == "$lookup" and isinstance(argument, dict) and "pipeline" not in argument:
+            context = lookup.equality(context, argument, lookup.fields_used(argument.get("as"), pipeline[k + 1 :]))
+            k += 1
+            continue
         if name in ("$out", "$merge") and k != len(pipeline) - 1:
             raise QueryError(40601, f"{name} can only be the final stage in the pipeline")
         if name not in STAGES:
@@ -176,6 +180,12 @@ def _sort_by_count(c: Context, spec) -> Context:
 
 @stage("$bucket")
 def _bucket(c: Context, spec) -> Context:
+    key, output = bucket_key(spec, c.scope())
+    return sort_columns(replace(c, df=c.df.groupBy(key.alias("_id")).agg(*aggregates(output, c.scope(), c.order)), order=[]), [("_id", True)])
+
+
+def bucket_key(spec, scope: Scope, hit: Column | None = None) -> tuple[Column, dict]:
+    """Each document's bucket, and the accumulators; where ``hit`` is given, other rows are in no bucket."""
     if not isinstance(spec, dict) or not {"groupBy", "boundaries"} <= set(spec):
         raise QueryError(40198, "$bucket requires 'groupBy' and 'boundaries' to be specified.")
     bounds = spec["boundaries"]
@@ -186,20 +196,18 @@ def _bucket(c: Context, spec) -> Context:
         raise QueryError(40193, "All values in the 'boundaries' option to $bucket must have the same type")
     if any(not a < b for a, b in zip(bounds, bounds[1:], strict=False)):
         raise QueryError(40194, "The 'boundaries' option to $bucket must be sorted in ascending order")
-    scope = c.scope()
     value = compile_expression(spec["groupBy"], scope)
     t = V.common_type([x.type for x in literals])
     fallback = V.literal(spec["default"]) if "default" in spec else None
     u = V.common_type([t, fallback.type]) if fallback else t
     u = u or T.StringType()
     # names of another type than the boundaries' make the key text, which then sorts as text
-    out = None
+    out = F.when(F.lit(False) if hit is None else hit.isNull(), F.lit(None).cast(u))
     for low, high, name in zip(literals, literals[1:], literals, strict=False):
         inside = value.col.isNotNull() & ~V.less(value, low) & V.less(value, high) if value.kind == low.kind else F.lit(False)
-        out = (F.when if out is None else out.when)(inside, name.col.cast(u))
+        out = out.when(inside, name.col.cast(u))
     out = out.otherwise(fallback.col.cast(u) if fallback else F.raise_error(F.lit("[40066] $switch could not find a matching branch for an input, and no default was specified.")).cast(u))
-    aggs = aggregates(spec.get("output", {"count": {"$sum": 1}}), scope, c.order)
-    return sort_columns(replace(c, df=c.df.groupBy(out.alias("_id")).agg(*aggs), order=[]), [("_id", True)])
+    return out, spec.get("output", {"count": {"$sum": 1}})
 
 
 def _direction(v) -> bool:
@@ -238,6 +246,11 @@ def _sample(c: Context, spec) -> Context:
 
 @stage("$unwind")
 def _unwind(c: Context, spec) -> Context:
+    return unwind(c, spec)
+
+
+def unwind(c: Context, spec, hit: str | None = None) -> Context:
+    """``hit`` names a column that is nulled where a row has nothing to unwind, in place of dropping the row."""
     spec = {"path": spec} if isinstance(spec, str) else spec
     path = spec.get("path")
     if not isinstance(path, str) or not path.startswith("$") or len(path) < 2:
@@ -248,13 +261,16 @@ def _unwind(c: Context, spec) -> Context:
     parts = path[1:].split(".")
     fields = c.scope().fields
     value = plain(fields[parts[0]], parts[1:]) if parts[0] in fields else V.missing()
+    marked = lambda df, there: df.withColumn(hit, F.when(F.col(hit) & there, True))
     if value.kind != V.ARRAY:
-        df = c.df if keep else c.df.filter(value.col.isNotNull())
-        c = replace(c, df=df)
+        there = value.col.isNotNull()
+        c = replace(c, df=c.df if keep else marked(c.df, there) if hit else c.df.filter(there))
         return c.with_fields(assign(c.scope().fields, index.split("."), Value(F.lit(None).cast("bigint"), T.LongType()))) if index else c
-    explode = F.posexplode_outer if keep else F.posexplode
+    explode = F.posexplode_outer if keep or hit else F.posexplode
     others = [F.col(f"`{x}`") for x in c.df.columns]
     df = c.df.select(*others, explode(value.col).alias("__pos", "__elem"))
+    if hit and not keep:
+        df = marked(df, F.col("__pos").isNotNull())
     order = [*c.order, ("__pos", True)] if c.order else []
     done = replace(c, df=df)
     new = assign(done.scope().fields, parts, Value(F.col("__elem"), value.type.elementType))
@@ -273,10 +289,15 @@ def _unwind(c: Context, spec) -> Context:
 def _redact(c: Context, spec) -> Context:
     if "$$DESCEND" in str(spec):
         raise QueryError(NOT_IMPLEMENTED, "$$DESCEND is not yet implemented")
-    value = compile_expression(spec, c.scope())
+    return replace(c, df=c.df.filter(kept_by(spec, c.scope())))
+
+
+def kept_by(spec, scope: Scope) -> Column:
+    """Whether ``$redact`` keeps a document."""
+    value = compile_expression(spec, scope)
     if value.kind != V.STRING:
         raise QueryError(17053, "$redact's expression should not return anything aside from the variables $$KEEP, $$DESCEND, and $$PRUNE")
-    return replace(c, df=c.df.filter(value.col == "$$KEEP"))
+    return value.col == "$$KEEP"
 
 
 @stage("$facet")
@@ -285,6 +306,10 @@ def _facet(c: Context, spec) -> Context:
     if not isinstance(spec, dict) or not spec:
         raise QueryError(40169, "the $facet specification must be a non-empty object")
     out = None
+    if len(spec) > 1 and c.df.columns:  # the input is written once and read by every facet
+        from quillspark.sources.storage import checkpointed
+
+        c = replace(c, df=checkpointed(c.df))
     for name, pipeline in spec.items():
         done = compile_stages(c, pipeline)
         keys = [F.col(k) for k, _ in done.order] if done.sorted else []
@@ -297,7 +322,7 @@ def _facet(c: Context, spec) -> Context:
         else:
             gathered = F.collect_list(row(done.df))
         one = done.df.agg(gathered.alias(name))
-        out = one if out is None else out.join(F.broadcast(one))
+        out = one if out is None else out.crossJoin(one)  # one row each
     return replace(c, df=out, order=[], sorted=False)
 
 

@@ -1,6 +1,7 @@
 """Documents of any shape, and BSON."""
 
 import datetime
+import decimal
 import json
 
 import pytest
@@ -38,6 +39,23 @@ def test_order_groups_and_distinct(dynamic):
     assert [r.value.toJson() for r in dynamic.distinct("a").collect()] == ["null", "1", "5", "7.5", '"5"', '{"b":2}', "true"]
 
 
+def test_large_whole_numbers_stay_apart(spark):
+    big = 1 << 53
+    d = Dynamic.from_json(spark.createDataFrame([(json.dumps({"k": k, "a": a}),) for k, a in enumerate([big, big + 1, float(big), big + 2, -big - 1, 2.5])], "j string").coalesce(1), "j")
+    assert ks(d.match({"a": big})) == [0, 2] and ks(d.match({"a": {"$gt": big}})) == [1, 3] and ks(d.sort({"a": 1, "k": 1})) == [4, 5, 0, 2, 1, 3]
+
+
+def test_tagged_json_keeps_types(spark):
+    from quillspark.sources.tagged import tagged, untagged
+
+    kind = "a long, b int, c double, d decimal(10,2), e string, f boolean, g timestamp, h binary, i array<struct<x:long,y:string>>, j map<string,double>, k struct<z:date>"
+    when = datetime.datetime(2020, 5, 17, 1, 2, 3, 4005)
+    rows = [(1 << 60, 2, 1.5, decimal.Decimal("3.25"), "é", True, when, b"\x00\xff", [(1, "a"), (None, None)], {"m": 0.1}, (when.date(),)), (None,) * 11]
+    df = spark.createDataFrame(rows, kind)
+    assert untagged(tagged(df), df.schema).collect() == df.collect()
+    assert json.loads(tagged(df).first().doc)["a"] == {"$numberLong": str(1 << 60)}
+
+
 def test_bson_round_trip(spark, tmp_path):
     when = datetime.datetime(2020, 5, 17, 1, 2, 3, 4000, tzinfo=datetime.timezone.utc)
     d = {"_id": {"$oid": "ab" * 12}, "i": 1, "l": 1 << 40, "d": 1.5, "s": "é", "b": b"\x01", "n": None, "t": True, "w": when, "xs": [1, "two", {"three": 3.0}]}

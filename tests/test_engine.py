@@ -5,8 +5,9 @@ import pytest
 from quillspark.commands import Session
 from quillspark.errors import QueryError
 from quillspark.operators.updates import Update
+from quillspark.sources import catalog
 from quillspark.sources.catalog import Engine
-from quillspark.streaming.changes import events, invalidated, token, watch
+from quillspark.streaming.changes import ChangeCursor, events, invalidated, token, watch
 
 
 @pytest.fixture
@@ -112,17 +113,76 @@ def test_change_stream(engine):
     c.delete({"_id": 2})
     engine["db"]["other"].insert([{"_id": 7}])
     seen = watch(c).orderBy("clusterTime", "documentKey").collect()
-    assert [r.operationType for r in seen] == ["insert", "insert", "update", "delete"] and '"a"' in seen[2].fullDocument
-    after = events(c, [{"$project": {"operationType": 1}}], resume_after=seen[1].token, stream=False).collect()
-    assert sorted(r.operationType for r in after) == ["delete", "update"] and token(1) == seen[0].token
-    now = events(c, [{"$match": {"operationType": "update"}}], full_document="updateLookup", stream=False).first()
-    assert '"a":5' in now.fullDocument
-    c.drop()
-    assert invalidated(c, token(99)) and not invalidated(c, seen[0].token)
+    assert [r.operationType for r in seen] == ["insert", "insert", "update", "delete"] and seen[2].fullDocument.a == 5 and seen[2].documentKey._id == 1
+    assert seen[0]._id._data == token(1, '{"_id":1}') and (seen[0].ns.db, seen[0].ns.coll) == ("db", "c")
+    after = events(c, [{"$project": {"operationType": 1}}], resume_after=seen[0]._id._data, stream=False).collect()
+    assert [r.operationType for r in after] == ["insert", "update", "delete"]  # the other insert of the same write too
+    now = events(c, [{"$match": {"operationType": "update"}}], start_at=1, full_document="updateLookup", stream=False).first()
+    assert now.fullDocument.asDict() == {"_id": 1, "a": 5}
+    assert events(c, stream=False).count() == 0  # from now on
     with pytest.raises(QueryError):
         events(c, [{"$group": {"_id": 1}}])
 
 
+def test_change_cursors_stay_open_and_end_with_the_collection(engine):
+    c = engine["db"]["c"]
+    c.insert([{"_id": 1}])
+    tail = ChangeCursor(c)
+    assert tail.take(5) == []
+    c.insert([{"_id": 2, "v": 1}, {"_id": 3, "v": 2}])
+    first = tail.take(1)
+    assert [d["documentKey"]["_id"] for d in first + tail.take(5)] == [2, 3] and tail.take(5) == []
+    engine["db"]["d"].insert([{"_id": 9}])
+    c.drop()
+    assert [d["operationType"] for d in tail.take(5)] == ["drop"]
+    assert ChangeCursor(c, resume_after=tail.after).take(3) == [{"_id": {"_data": tail.after}, "operationType": "invalidate"}]
+    assert not invalidated(c, first[0]["_id"]) and ChangeCursor(c, start_after=tail.after).take(1) == []
+    other = ChangeCursor(engine["db"]["d"])
+    engine["db"].drop()
+    assert [d["operationType"] for d in other.take(5)] == ["dropDatabase"]
+
+
+def test_writes_append_and_compact(engine, monkeypatch):
+    c = engine["db"]["c"]
+    c.insert([{"_id": k, "v": k} for k in range(5)])
+    first = c.meta()["segments"]
+    c.update({"v": {"$gte": 3}}, {"$inc": {"v": 10}}, multi=True)
+    c.delete({"_id": 0})
+    assert c.meta()["segments"][:1] == first and len(c.meta()["segments"]) == 2 and len(c.meta()["gone"]) == 2
+    want = [{"_id": 1, "v": 1}, {"_id": 2, "v": 2}, {"_id": 3, "v": 13}, {"_id": 4, "v": 14}]
+    assert docs(c.find(sort={"$natural": 1})) == want and docs(c.find(sort={"$natural": -1})) == want[::-1]
+    with pytest.raises(QueryError) as e:
+        c.insert([{"_id": 4}])
+    assert e.value.code == 11000 and c.insert([{"_id": 0, "v": 0}]) == 1
+    stale = c.meta()
+    c.delete({"_id": 0})
+    with pytest.raises(QueryError) as e:
+        c._save_meta(stale)
+    assert e.value.code == 112
+    monkeypatch.setattr(catalog, "COMPACT", 2)
+    c.update({"_id": 1}, {"$set": {"w": "x"}})
+    assert len(c.meta()["segments"]) == 1 and not c.meta()["gone"] and docs(c.find(sort={"_id": 1})) == [want[0] | {"w": "x"}, *want[1:]]
+    assert engine.tick() + 1 == engine.tick() == engine.now()
+
+
+def test_batches_insert_what_they_can(engine):
+    c = engine["db"]["c"]
+    c.create_index({"k": -1}, unique=True)
+    c.insert([{"_id": 1, "k": 1}])
+    batch = [{"_id": 2, "k": 2}, {"_id": 3, "k": 1}, {"_id": 4, "k": 2}, {"_id": 5, "k": 5}, {"_id": 5, "k": 6}]
+    n, errors = c.insert_some(batch, ordered=False)
+    assert (n, [e["index"] for e in errors], {e["code"] for e in errors}) == (2, [1, 2, 4], {11000}) and c.count() == 3
+    n, errors = c.insert_some([{"_id": 7, "k": 7}, {"_id": 1, "k": 8}, {"_id": 9, "k": 9}])
+    assert (n, [e["index"] for e in errors]) == (1, [1]) and c.count({"_id": 9}) == 0
+    stats = {r["name"]: r for r in c.aggregate([{"$indexStats": {}}]).collect()}
+    assert stats["k_-1"].key == {"k": -1} and stats["k_-1"].spec.v == 2 and stats["k_-1"].accesses.ops == 0 and stats["k_-1"].host
+    engine.read_only = True
+    for write in (lambda: c.drop_index("k_-1"), lambda: c.delete({}), lambda: c.update({}, {"$set": {"a": 1}}), lambda: engine.rename("db.c", "other.c")):
+        with pytest.raises(QueryError) as e:
+            write()
+        assert e.value.code == 20
+
+
 def test_commands(engine):
     s = Session(engine)
     run = lambda **c: s.run("db", c)
@@ -138,8 +198,14 @@ def test_commands(engine):
     assert run(findAndModify="c", query={"_id": 1}, update={"$inc": {"v": 1}}, new=True)["value"]["v"] == 9
     assert run(aggregate="c", pipeline=[{"$match": {"v": 9}}, {"$count": "n"}], cursor={})["cursor"]["firstBatch"] == [{"n": 1}]
     assert run(delete="c", deletes=[{"q": {"_id": 9}, "limit": 1}])["n"] == 1 and run(createIndexes="c", indexes=[{"key": {"v": 1}}])["ok"] == 1
-    assert [c["name"] for c in run(listCollections=1)["cursor"]["firstBatch"]] == ["c"] and run(renameCollection="db.c", to="db.d")["ok"] == 1 and run(drop="c")["code"] == 26
+    assert [c["name"] for c in run(listCollections=1)["cursor"]["firstBatch"]] == ["c"] and run(renameCollection="db.c", to="other.c")["ok"] == 1 and run(renameCollection="other.c", to="db.d")["ok"] == 1 and run(drop="c")["code"] == 26
     assert run(collStats="d")["count"] == 8 and run(dbStats=1)["collections"] == 1 and run(listIndexes="d")["cursor"]["firstBatch"][0]["name"] == "_id_"
+    assert [d["_id"] for d in run(find="d", filter={"$query": {"v": {"$gte": 1}}, "$orderby": {"_id": -1}}, batchSize=2)["cursor"]["firstBatch"]] == [10, 5] or run(count="d", query={})["n"] == 8
+    tail = run(aggregate="d", pipeline=[{"$changeStream": {}}], cursor={})["cursor"]
+    assert tail["id"] and tail["firstBatch"] == [] and run(insert="d", documents=[{"_id": 99}])["n"] == 1
+    assert [e["documentKey"]["_id"] for e in run(getMore=tail["id"], maxTimeMS=500)["cursor"]["nextBatch"]] == [99] and run(getMore=tail["id"])["cursor"]["nextBatch"] == []
+    bad = run(aggregate="d", pipeline=[{"$bucket": {"groupBy": "$_id", "boundaries": [0, 3]}}], cursor={})
+    assert bad["code"] == 40066 and bad["errmsg"].startswith("PlanExecutor error during aggregation :: caused by :: ")
     assert run(dropDatabase=1)["ok"] == 1 and run(killCursors="d", cursors=[5])["cursorsNotFound"] == [5]
     engine.read_only = True
     assert run(insert="c", documents=[{"_id": 1}])["code"] == 20 and run(find="c")["ok"] == 1

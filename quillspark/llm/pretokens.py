@@ -1,8 +1,8 @@
 """Splitting texts into the pre-tokens of a ``tokenizers`` file, with a fast path that the library's rules are read from.
 
-The fast path takes texts whose characters are plain Latin (below U+0250, without control characters and the few with
-special lower cases) and that hold no added token; there, normalising is lower-casing and the file's split pattern runs
-on Python's ``re`` with its classes spelled out. Every other text goes through the library's own normaliser and split.
+The fast path takes texts whose characters are plain Latin (below U+0250 as they stand and in lower case, without control
+characters) and that hold no added token; there, normalising is lower-casing and the file's split pattern runs on
+Python's ``re`` with its classes spelled out. Every other text goes through the library's own normaliser and split.
 """
 
 from __future__ import annotations
@@ -16,7 +16,13 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Regex, Tokenizer, pre_tokenizers  # noqa: E402
 
-_PLAIN = r"\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ǯǱ-ɏ"
+_PLAIN_BELOW = 0x250
+
+
+def _plain() -> str:
+    """The characters of the fast path: visible ones below U+0250 whose lower case is one such character, blanks and line ends."""
+    visible = {c for c in map(chr, [9, 10, 13, *range(0x20, _PLAIN_BELOW)]) if c in "\t\n\r " or unicodedata.category(c)[0] not in "CZ"}
+    return "".join(c for c in sorted(visible) if c.lower() in visible)
 
 
 def _class(kind: str) -> str:
@@ -53,7 +59,7 @@ class Splitter:
         pattern = split["pattern"]["Regex"]
         self._split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         self._find = re.compile(_spelled(pattern)).findall
-        self._odd = re.compile(f"[^{_PLAIN}]").search
+        self._odd = re.compile(f"[^{re.escape(_plain())}]").search
         names = sorted(map(re.escape, self.added), key=len, reverse=True)
         self._added = re.compile(f"({'|'.join(names)})") if names else None
 

@@ -85,12 +85,13 @@ def documents(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def drawn(rows: DataFrame, total: int, sample: int, salt: str) -> DataFrame:
-    """About ``sample`` of ``rows`` (all, if there are no more; twice as many at most), by hash of id and text.
+    """About ``sample`` of ``rows(doc_id, text, ...)`` (all, if there are no more; twice as many at most), with the hash ``place``.
 
-    Only hashes are compared, so no row is sorted or shuffled; the same rows are drawn whatever the partitions.
+    Rows are drawn by hash of id and text. Only hashes are compared, so no row is sorted or shuffled; the same rows are
+    drawn whatever the partitions, and sorting the few by ``place`` gives one order whatever the partitions.
     """
+    placed = rows.withColumn("place", F.xxhash64("doc_id", "text", F.lit(salt)))
     if total <= sample:
-        return rows
-    low = -(1 << 63)
-    chosen = rows.filter(F.xxhash64("doc_id", "text", F.lit(salt)) < F.lit(low + (1 << 64) * sample // total))
+        return placed
+    chosen = placed.filter(F.col("place") < F.lit(-(1 << 63) + (1 << 64) * sample // total))
     return chosen.limit(2 * sample) if chosen.count() > 2 * sample else chosen  # only where one row is repeated very often

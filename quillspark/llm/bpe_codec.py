@@ -11,7 +11,8 @@ file names no decoder, so decoding joins pieces by one blank, as the library doe
 
 Blocks and words are written to the shared folder first, so a lost executor can't change how texts fell into blocks.
 
-Defined cases: a null text is empty: no ids, decoded to the empty text; repeated ids are rows of their own.
+Defined cases: a null text is empty: no ids, decoded to the empty text; repeated ids are rows of their own; a text longer
+than a block is a block of its own; nothing depends on the order of words or rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,8 +33,12 @@ from quillspark.llm.token_counts import splitter
 
 #: The least integer that takes five bytes in a list.
 LONG = 192 + 63 * 256
-#: Characters of text in a block (or one longer text), texts in a stored row, and word groups.
-BLOCK, TOGETHER, GROUPS = 32 << 20, 64, 512
+#: Characters of text in a block (or one longer text), and texts in a stored row.
+BLOCK, TOGETHER = 32 << 20, 64
+#: Word groups, at least and at most, and the bytes of text for each between; a block's words fall into all of them.
+GROUPS, GROUP_BYTES = (512, 8192), 64 << 20
+#: Encoded words that a task keeps; more than one group's distinct words seldom exceed it, and then words are encoded again.
+KNOWN = 1_000_000
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -56,8 +61,8 @@ def unpack(data: bytes) -> np.ndarray:
     return out
 
 
-def groups_of(words: list[str]) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words)) % GROUPS
+def groups_of(words: list[str], groups: int) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words)) % groups
 
 
 SPLIT_SQL = "block string, word_group int, rows array<long>, sizes array<int>, positions binary, words binary"
@@ -69,7 +74,7 @@ class _Local(dict):
         return n
 
 
-def block_rows(name: str, ids: list, texts: list[np.ndarray], local: dict[str, int]):
+def block_rows(name: str, ids: list, texts: list[np.ndarray], local: dict[str, int], groups: int):
     """The stored rows of one block: its texts' positions, then its words by group."""
     n = len(local)
     counts = np.bincount(np.concatenate(texts), minlength=n) if n else np.zeros(0, np.int64)
@@ -81,7 +86,7 @@ def block_rows(name: str, ids: list, texts: list[np.ndarray], local: dict[str, i
         flat = np.concatenate(part)
         yield name, None, ids[i : i + TOGETHER], [len(x) for x in part], pack(rank[flat] if n else flat), None
     words = sorted(local)
-    group = groups_of(words)
+    group = groups_of(words, groups)
     for g in np.unique(group):
         mine = [words[k] for k in np.flatnonzero(group == g)]
         where = rank[np.fromiter((local[w] for w in mine), np.int64, len(mine))]
@@ -95,7 +100,7 @@ def to_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
 
 
-def split_blocks(file):
+def split_blocks(file, groups: int):
     def run(batches):
         from pyspark import TaskContext
 
@@ -104,7 +109,7 @@ def split_blocks(file):
 
         def flush():
             name = f"{task.partitionId()}-{number}"
-            rows = list(block_rows(name, ids, texts, local))
+            rows = list(block_rows(name, ids, texts, local, groups))
             for i in range(0, len(rows), 256):
                 yield to_batch(rows[i : i + 256])
 
@@ -133,6 +138,8 @@ def encode_words(file):
             blocks, places, counts, ids = [], [], [], []
             for block, where, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 words = zstandard.ZstdDecompressor().decompress(blob).decode().split("\n")
+                if len(known) + len(words) > KNOWN:
+                    known.clear()
                 for w in words:
                     if w not in known:
                         known[w] = np.array(split.encode(w), np.uint32)
@@ -192,7 +199,10 @@ def bpe_encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     prepare(spark)
     scratch, text = Scratch(spark), read_file(tokenizer)
     file, names = spark.sparkContext.broadcast(text), spark.sparkContext.broadcast(pieces(text))
-    split = scratch.save(documents(docs, "doc_id", "text").mapInArrow(split_blocks(file), SPLIT_SQL), "blocks")
+    docs = documents(docs, "doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = min(max(size // GROUP_BYTES, GROUPS[0]), GROUPS[1])
+    split = scratch.save(docs.mapInArrow(split_blocks(file, groups), SPLIT_SQL), "blocks")
     asked = split.filter("word_group is not null").select("word_group", "block", "positions", "words").repartition("word_group").select("block", "positions", "words")
     answered = asked.mapInArrow(encode_words(file), "block string, positions binary, counts binary, ids binary")
     texts = split.filter("word_group is null").select("block", "rows", "sizes", "positions")

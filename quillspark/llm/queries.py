@@ -53,7 +53,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan(table(spark, sf_dir, "documents")).drop("text")
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kinds"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kinds"] != "guess")
-    return out.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    strong = F.size(F.filter("spans", lambda s: s["log10_guesses"] >= 9.0)).cast("long").alias("n_strong")
+    return out.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), of("guess"), strong)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,23 @@
 """Secret scans: fixed patterns, and a password guess-cost model for values in credential contexts.
 
-Fixed patterns give the spans ``assign``, ``access`` and ``hex``. Values that stand where credentials stand are scored
-by the number of guesses that an attacker needs, as in password strength meters: dynamic programming finds the cheapest
-way to segment the value into known words, dates, repeats, keyboard walks and brute-force characters, each priced by
-the logarithm of its guesses, plus a price for each boundary. Values of at least ``min_log10_guesses`` that no fixed
-spans cover wholly add ``guess`` spans. The cost of a value is linear in its length.
+Fixed patterns give the spans ``assign``, ``access`` and ``hex``. Values that stand where credentials stand, those of
+``assign`` among them, are scored by the number of guesses that an attacker needs, as in password strength meters:
+dynamic programming finds the cheapest way to segment the value into known words, dates, repeats, keyboard walks and
+brute-force characters, each priced by the logarithm of its guesses, plus a price for each boundary. Known words are the
+``DICTIONARY`` commonest words of the corpus itself, counted over all documents and ranked by that count, and a short
+list of common passwords before them; a word costs its rank. Values of at least ``min_log10_guesses`` that no fixed spans
+cover wholly add ``guess`` spans. The cost of a value is linear in its length, that of a scan in the text's.
 
 Spans are [start, end) in code points of the whole text. Defined cases: a null text is empty and has no spans; texts
-of any length are scanned whole; rows are judged one by one, so repeated ids don't matter.
+of any length are scanned whole; rows are judged one by one, so repeated ids and rows don't matter; words of one count
+are ranked by spelling; where nothing is in the table, nothing is known but the list; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,7 +37,9 @@ CONTEXT = re.compile(
     re.I | re.A,
 )
 _CONTEXT_WORD = re.compile(r"pass|pwd|secret|token|bearer|credential|key|pin", re.I | re.A)
-#: Common words of passwords, commonest first; a rank is the number of guesses.
+#: Words of the corpus that are known at most (about 1 MB, broadcast), and their letters.
+DICTIONARY, SHORTEST, LONGEST = 50_000, 3, 20
+#: Common words of passwords, commonest first; a rank is the number of guesses.
 COMMON = (
     "password pass word admin qwerty letmein welcome login user test guest root master secret hello love money monkey dragon "
     "football baseball soccer hockey summer winter spring autumn sunshine princess shadow michael jordan super batman trustno "
@@ -47,7 +53,6 @@ COMMON = (
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
 LEET = str.maketrans("@4301!$57", "aaeoiisst")
 _RANK = {w: k + 1 for k, w in reversed(list(enumerate(COMMON)))}
-_LONGEST = max(map(len, COMMON))
 _DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
 #: log10 of the guesses for each further segment.
 BOUNDARY = math.log10(2)
@@ -74,91 +79,127 @@ def _brute(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 1000)
 
 
-def log10_guesses(value: str) -> float:
-    """The logarithm of the guesses of the cheapest segmentation."""
-    n = len(value)
-    low = value.lower()
+def folded(value: str) -> str:
+    """Lower case, code point by code point, so that places stay."""
+    return "".join(c if len(d := c.lower()) != 1 else d for c in value)
+
+
+def segments(value: str, ranks: dict[str, int]) -> Iterator[tuple[int, int, float]]:
+    """(start, end, log10 of the guesses) of every priced segment, by end."""
+    low = folded(value)
     plain = low.translate(LEET)
     dates: dict[int, list[int]] = {}
-    for i in range(n):
+    for i in range(len(low)):
         if low[i].isdigit() and (m := _DATE.match(low, i)):
             dates.setdefault(m.end(), []).append(i)
-    best = [0.0] + [math.inf] * n
     walk = repeat = 1  # lengths of the walk and the repeat that end at i
-    for i in range(1, n + 1):
+    for i in range(1, len(value) + 1):
         c = low[i - 1]
         walk = walk + 1 if i > 1 and c in _NEAR.get(low[i - 2], ()) and c != low[i - 2] else 1
         repeat = repeat + 1 if i > 1 and c == low[i - 2] else 1
-        price = best[i - 1] + _brute(value[i - 1])
-        for length in range(3, min(_LONGEST, i) + 1):
+        yield i - 1, i, _brute(value[i - 1])
+        for start in range(max(0, i - LONGEST), i - SHORTEST + 1):
             for form, leet in ((low, 0.0), (plain, BOUNDARY)):
-                if rank := _RANK.get(form[i - length : i]):
-                    upper = 0.0 if value[i - length : i] == low[i - length : i] else BOUNDARY
-                    price = min(price, best[i - length] + math.log10(rank) + upper + leet + BOUNDARY)
+                if rank := ranks.get(form[start:i]):
+                    upper = 0.0 if value[start:i] == low[start:i] else BOUNDARY
+                    yield start, i, math.log10(rank) + upper + leet + BOUNDARY
         for start in dates.get(i, ()):
-            price = min(price, best[start] + math.log10(100 if i - start == 4 else 36_500) + BOUNDARY)
+            yield start, i, math.log10(100 if i - start == 4 else 36_500) + BOUNDARY
         for length in range(3, min(walk, WALK) + 1):
-            price = min(price, best[i - length] + math.log10(40 * length * 4) + BOUNDARY)
+            yield i - length, i, math.log10(40 * length * 4) + BOUNDARY
         if repeat >= 3:
-            price = min(price, best[i - repeat] + math.log10(95 * repeat) + BOUNDARY)
+            yield i - repeat, i, math.log10(95 * repeat) + BOUNDARY
         for size in (2, 3, 4, 6, 8):  # a block repeated: one more costs little
             if i >= 2 * size and low[i - size : i] == low[i - 2 * size : i - size]:
-                price = min(price, best[i - size] + BOUNDARY)
-        best[i] = price
-    return best[n]
+                yield i - size, i, BOUNDARY
 
 
-def covered(start: int, end: int, base: list[tuple[int, int, int]]) -> bool:
-    """Whether the base spans, in order of start, hold every character of [start, end)."""
-    for s, _, e in base:
-        if s > start:
-            break
-        start = max(start, e)
-    return start >= end
+def log10_guesses(value: str, ranks: dict[str, int] = _RANK) -> float:
+    """The logarithm of the guesses of the cheapest segmentation."""
+    best = [0.0] + [math.inf] * len(value)
+    for start, end, price in segments(value, ranks):
+        best[end] = min(best[end], best[start] + price)
+    return best[-1]
+
+
+def ranked(words: list[str]) -> dict[str, int]:
+    """Ranks of the common passwords, and of further words, commonest first, after them."""
+    out = dict(_RANK)
+    for word in words:
+        out.setdefault(word, len(out) + 1)
+    return out
 
 
-def scan(text: str, least: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans and added spans, as (start, kind, end)."""
-    base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
+def corpus_words(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
+    """The commonest words of all texts, counted where they are read before anything is shuffled."""
+    words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter(F.length("word").between(SHORTEST, LONGEST))
+    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    return top.select("word").toArrow().column("word").to_pylist()
+
+
+def uncovered(found: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[bool]:
+    """Whether some character of each of the found ranges is in no base span; both are in order of start."""
+    out, at, reach = [], 0, []  # reach: runs of characters that base spans hold
+    for s, _, e in base:
+        if reach and s <= reach[-1][1]:
+            reach[-1][1] = max(reach[-1][1], e)
+        else:
+            reach.append([s, e])
+    for start, end in found:
+        while at < len(reach) and reach[at][1] < end:
+            at += 1
+        out.append(at == len(reach) or reach[at][0] > start)
+    return out
+
+
+def scan(text: str, least: float, ranks: dict[str, int] = _RANK) -> list[tuple[int, int, int, float | None]]:
+    """All spans in order, as (start, kind, end, log10 of a credential value's guesses)."""
+    assigned = [m for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
+    spans = [(m.start(), 0, m.end(), log10_guesses(m.group(2), ranks)) for m in assigned]
     if "AKIA" in text:
-        base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
-    base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base.sort()
-    added = []
+        spans += [(m.start(), 1, m.end(), None) for m in ACCESS.finditer(text)]
+    spans += [(m.start(), 2, m.end(), None) for m in HEX.finditer(text)]
+    spans.sort(key=lambda s: s[:3])
     if _CONTEXT_WORD.search(text):
-        for m in CONTEXT.finditer(text):
-            start, end = m.span(1)
-            value = m.group(1).rstrip(".!?):]}")
-            end = start + len(value)
-            if len(value) >= 8 and not covered(start, end, base) and log10_guesses(value) >= least:
-                added.append((start, 3, end))
-    return base, added
+        values = [(m.start(1), m.start(1) + len(m.group(1).rstrip(".!?):]}"))) for m in CONTEXT.finditer(text)]
+        values = [(s, e) for s, e in values if e - s >= 8]
+        for (s, e), left in zip(values, uncovered(values, [x[:3] for x in spans]), strict=True):
+            if left and (cost := log10_guesses(text[s:e], ranks)) >= least:
+                spans.append((s, 3, e, cost))
+        spans.sort(key=lambda s: s[:3])
+    return spans
 
 
-def scanner(least: float, carry: tuple[str, ...]):
+SPAN = pa.struct([("kinds", pa.string()), ("starts", pa.int32()), ("ends", pa.int32()), ("log10_guesses", pa.float64())])
+SPANS_SQL = "array<struct<kinds:string,starts:int,ends:int,log10_guesses:double>>"
+
+
+def scanner(least: float, ranks):
     def run(batches):
+        known = ranked(ranks.value)
         for batch in batches:
-            starts, ends, kinds, costs = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                base, added = scan(text, least) if text else ([], [])
-                spans = sorted(base + added)
-                starts.append([s for s, _, _ in spans]), ends.append([e for _, _, e in spans]), kinds.append([KINDS[k] for _, k, _ in spans])
-                costs.append([log10_guesses(text[s:e]) if k == 3 else None for s, k, e in spans])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(kinds, pa.list_(pa.string())), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(costs, pa.list_(pa.float64())), *batch.columns[2:]],
-                names=["doc_id", "text", "kinds", "starts", "ends", "log10_guesses", *carry],
-            )
+            found = [[(KINDS[k], s, e, cost) for s, k, e, cost in scan(text, least, known)] if text else [] for text in batch.column(1).to_pylist()]
+            spans = pa.array([[dict(zip(("kinds", "starts", "ends", "log10_guesses"), x, strict=True)) for x in row] for row in found], pa.list_(SPAN))
+            yield pa.RecordBatch.from_arrays([*batch.columns, spans], names=[*batch.schema.names, "spans"])
 
     return run
 
 
 def secret_scan(docs: DataFrame, min_log10_guesses: float = 9.0, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> ``doc_id, text, spans: array<struct<kinds, starts, ends, log10_guesses>>`` in order of start, then kind, and the columns to carry."""
-    prepare(docs.sparkSession)
+    """``docs(doc_id, text, ...)`` -> ``doc_id, text``, the columns to carry, and ``spans: array<struct<kinds, starts, ends, log10_guesses>>``.
+
+    Spans are in order of start, then kind; ``log10_guesses`` is null but for values of credentials. Carried columns may
+    have any name but these three.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
     docs = documents(docs, "doc_id", "text", *carry)
-    schema = T._parse_datatype_string("doc_id long, text string, kinds array<string>, starts array<int>, ends array<int>, log10_guesses array<double>")
-    found = docs.mapInArrow(scanner(min_log10_guesses, carry), T.StructType([*schema.fields, *docs.schema.fields[2:]]))
-    return found.select("doc_id", "text", *carry, F.arrays_zip("kinds", "starts", "ends", "log10_guesses").alias("spans"))
+    ranks = spark.sparkContext.broadcast(corpus_words(docs))
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    fields = [T.StructField(name, f.dataType) for name, f in zip(names, docs.schema.fields, strict=True)]
+    plain = docs.toDF(*names)
+    found = plain.mapInArrow(scanner(min_log10_guesses, ranks), T.StructType([*fields, T.StructField("spans", T._parse_datatype_string(SPANS_SQL))]))
+    return found.toDF(*docs.columns, "spans")
 
 
 def written(spans: Column) -> Column:

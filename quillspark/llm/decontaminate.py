@@ -1,16 +1,20 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows, searched by multi-index Hamming blocks.
 
 Each benchmark item has a 128-bit SimHash over its words. A document's windows of an item's size get theirs from
-running sums; fingerprints within RADIUS bits of each other agree in one of BLOCKS blocks of 4 bits (there are more blocks
-than bits that may differ), so looking up every block finds all of them. Candidates are then verified by the
-weighted Jaccard similarity of window and item on n-word shingles, weighted by their rarity among items.
+running sums. Fingerprints are cut into BLOCKS blocks of 16 bits. Two that are at most RADIUS bits apart are at most
+NEAR = RADIUS // BLOCKS bits apart in some block, so an index of all values within ITEM_TURNS bits of an item's block,
+looked up with all values within NEAR - ITEM_TURNS bits of a window's block, finds every such pair; in a block one pair in
+a hundred comes up by chance. Candidates within the radius are then verified by the weighted Jaccard similarity of window
+and item on n-word shingles: an item's shingle weighs log(1 + items / items that hold it), any other log(1 + items).
 
 A window can only be similar if it holds a shingle of an item, so windows without one are passed over unseen; this
-loses nothing. The benchmark is searched in blocks of bounded size, each against all documents.
+loses nothing. Benchmarks larger than ITEMS are searched in parts, since a part's index is broadcast; the weights are
+counted over the whole benchmark first, so parts don't change a result.
 
 Words are lower-cased (A-Z). Defined cases: null or blank texts and items match nothing; an item of fewer than n words
 is one shingle and matches where its words stand; a document shorter than an item is one window; repeated ids of
-documents or items give a row for each match with the best similarity.
+documents or items give a row for each match with the best similarity; of equally similar windows one is named; texts of
+any length are searched whole; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,14 +27,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import words as W
-from quillspark.llm.runtime import documents, prepare
+from quillspark.llm.runtime import Scratch, documents, prepare
 
-#: Bits that may differ, of 32 blocks of 4 bits; items searched at a time (their index is what is broadcast). One word
-#: changed in an item of 14 turns 15 bits at the mean, 4 standard deviations below the radius.
-RADIUS, BLOCKS, ITEMS = 31, 32, 20_000
+#: Bits that may differ, blocks of 16 bits, and bits turned on the items' side; items searched at a time (their index is
+#: what is broadcast). One word changed in an item of 14 turns 15 bits at the mean, 4 standard deviations below the radius.
+RADIUS, BLOCKS, ITEM_TURNS, ITEMS = 31, 8, 2, 20_000
+NEAR = RADIUS // BLOCKS
 OUT_SQL = "doc_id long, item_id long, similarity double, distance int, start int, n_words int"
 
 
+def turns(bits: int) -> np.ndarray:
+    """All 16-bit masks of at most so many bits."""
+    every = np.arange(1 << 16, dtype=np.uint32)
+    return every[np.bitwise_count(every) <= bits].astype(np.uint16)
+
+
 def lanes(words: np.ndarray) -> np.ndarray:
     """128 signs for each word."""
     both = np.stack([W.mix(words, 21), W.mix(words, 22)], axis=1)
@@ -47,14 +58,10 @@ def prints(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(sums[starts - lo + size] - sums[starts - lo] > 0, axis=1)
 
 
-def nibbles(codes: np.ndarray) -> np.ndarray:
-    return np.concatenate([codes >> 4, codes & 15], axis=1)
-
-
 class Index:
-    """What is broadcast of a block of items."""
+    """What is broadcast of some items: ids and texts, with ``owners``, the items of the whole benchmark that hold a shingle, and their number ``total``."""
 
-    def __init__(self, ids: list, texts: pa.Array, n: int):
+    def __init__(self, ids: list, texts: pa.Array, n: int, owners: dict[int, int], total: int):
         self.n, self.items = n, []
         grams: dict[int, set[int]] = {}
         for k, words in W.per_row(texts, True):
@@ -64,10 +71,9 @@ class Index:
                 self.items.append((ids[k], words, g))
                 for x in np.unique(g).tolist():
                     grams.setdefault(x, set()).add(number)
-        total = len(self.items)
         self.grams = np.array(sorted(grams), W.U)
         self.owners = [sorted(grams[x]) for x in self.grams.tolist()]
-        self.weight = np.array([math.log1p(total / len(o)) for o in self.owners])
+        self.weight = np.array([math.log1p(total / owners[x]) for x in self.grams.tolist()])
         self.unseen = math.log1p(total)
         self.sizes = sorted({min(n, len(w)) for _, w, _ in self.items})
         self.bitmap = np.zeros(1 << 20, bool)
@@ -75,10 +81,11 @@ class Index:
         self.tables: dict[int, tuple] = {}
         for size in {len(w) for _, w, _ in self.items}:
             members = np.array([k for k, (_, w, _) in enumerate(self.items) if len(w) == size])
-            codes = np.concatenate([prints(self.items[k][1], np.zeros(1, np.int64), size) for k in members])
-            parts = nibbles(codes)
-            order = np.argsort(parts, axis=0, kind="stable")
-            self.tables[size] = (members, codes, order, np.take_along_axis(parts, order, axis=0))
+            self.tables[size] = (members, np.concatenate([prints(self.items[k][1], np.zeros(1, np.int64), size) for k in members]))
+        self.blocks: dict[int, list] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"blocks": {}}  # made where they are needed
 
     def seen(self, g: np.ndarray) -> np.ndarray:
         """Positions of items' shingles."""
@@ -86,34 +93,49 @@ class Index:
         where = np.searchsorted(self.grams, g[at])
         return at[self.grams[np.minimum(where, len(self.grams) - 1)] == g[at]]
 
+    def block_tables(self, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each block, the sorted values within ITEM_TURNS bits of an item's, and the items."""
+        if size not in self.blocks:
+            parts, masks = self.tables[size][1].view(np.uint16), turns(ITEM_TURNS)
+            made = []
+            for j in range(BLOCKS):
+                values = (parts[:, j, None] ^ masks).reshape(-1)
+                order = np.argsort(values, kind="stable")
+                made.append((values[order], (order // len(masks)).astype(np.int32)))
+            self.blocks[size] = made
+        return self.blocks[size]
+
     def near(self, codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item, distance) of all pairs within the radius."""
-        members, mine, order, sorted_ = self.tables[size]
-        pairs, parts = [], nibbles(codes)
-        for j in range(BLOCKS):
-            lo, hi = np.searchsorted(sorted_[:, j], parts[:, j], "left"), np.searchsorted(sorted_[:, j], parts[:, j], "right")
+        members, mine = self.tables[size]
+        pairs, parts, masks = [np.zeros(0, np.int64)], np.ascontiguousarray(codes).view(np.uint16), turns(NEAR - ITEM_TURNS)
+        for j, (values, owner) in enumerate(self.block_tables(size)):
+            probes = (parts[:, j, None] ^ masks).reshape(-1)
+            lo, hi = np.searchsorted(values, probes, "left"), np.searchsorted(values, probes, "right")
             n = hi - lo
-            window = np.repeat(np.arange(len(codes)), n)
+            window = np.repeat(np.arange(len(probes)) // len(masks), n)
             inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            pairs.append(window * len(members) + order[inner, j])
+            pairs.append(np.unique(window * len(members) + owner[inner]))
         pair = np.unique(np.concatenate(pairs))
         window, item = pair // len(members), pair % len(members)
         distance = np.bitwise_count(codes[window] ^ mine[item]).sum(axis=1)
         ok = distance <= RADIUS
         return window[ok], members[item[ok]], distance[ok]
 
-    def weights(self, g: np.ndarray) -> np.ndarray:
-        where = np.minimum(np.searchsorted(self.grams, g), len(self.grams) - 1)
-        return np.where(self.grams[where] == g, self.weight[where], self.unseen)
+    def weights(self, own: np.ndarray) -> np.ndarray:
+        """The weights of an item's shingles."""
+        return self.weight[np.searchsorted(self.grams, own)]
 
 
-def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
-    """Weighted Jaccard of two multisets of shingles."""
-    x, ix, nx = np.unique(a, return_index=True, return_counts=True)
+def similarity(a: np.ndarray, b: np.ndarray, weight: np.ndarray, unseen: float) -> float:
+    """Weighted Jaccard of a window's and an item's multisets of shingles; ``weight`` is that of the item's."""
+    x, nx = np.unique(a, return_counts=True)
     y, iy, ny = np.unique(b, return_index=True, return_counts=True)
     _, px, py = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    common = (np.minimum(nx[px], ny[py]) * wa[ix[px]]).sum()
-    return float(common / max((nx * wa[ix]).sum() + (ny * wb[iy]).sum() - common, 1e-12))
+    wy = weight[iy]
+    common = (np.minimum(nx[px], ny[py]) * wy[py]).sum()
+    window = (nx[px] * wy[py]).sum() + unseen * (nx.sum() - nx[px].sum())
+    return float(common / max(window + (ny * wy).sum() - common, 1e-12))
 
 
 def search(words: np.ndarray, hits: dict[int, np.ndarray], index: Index, threshold: float) -> dict[int, tuple]:
@@ -121,7 +143,6 @@ def search(words: np.ndarray, hits: dict[int, np.ndarray], index: Index, thresho
     best: dict[int, tuple] = {}
     for k, at in hits.items():
         g = W.grams(words, k)
-        weight = index.weights(g)
         owned = [index.owners[x] for x in np.searchsorted(index.grams, g[at]).tolist()]
         sizes: dict[int, list[int]] = {}
         for p, own in zip(at.tolist(), owned, strict=True):
@@ -138,17 +159,20 @@ def search(words: np.ndarray, hits: dict[int, np.ndarray], index: Index, thresho
                     mine = items == item
                     begin, apart = part[windows[mine]], distances[mine]
                     own, m = index.items[item][2], span - k + 1
-                    w_own = index.weights(own)
-                    inside = np.where(np.isin(g, own), weight, 0)
-                    sums, all_ = np.concatenate([[0], np.cumsum(inside)]), np.concatenate([[0], np.cumsum(weight)])
-                    common = np.minimum(sums[begin + m] - sums[begin], w_own.sum())
-                    most = common / np.maximum(all_[begin + m] - all_[begin] + w_own.sum() - common, 1e-12)
+                    weight = index.weights(own)
+                    order = np.argsort(own, kind="stable")
+                    held = np.minimum(np.searchsorted(own[order], g), len(own) - 1)
+                    inside = own[order][held] == g
+                    worth = np.where(inside, weight[order][held], index.unseen)
+                    sums, all_ = np.concatenate([[0], np.cumsum(worth * inside)]), np.concatenate([[0], np.cumsum(worth)])
+                    common = np.minimum(sums[begin + m] - sums[begin], weight.sum())
+                    most = common / np.maximum(all_[begin + m] - all_[begin] + weight.sum() - common, 1e-12)
                     for o in np.argsort(-most, kind="stable").tolist():
                         known = best.get(item, (0.0,))[0]
                         if most[o] < threshold - 1e-9 or most[o] <= known:
                             break
                         s = int(begin[o])
-                        found = similarity(g[s : s + m], weight[s : s + m], own, w_own)
+                        found = similarity(g[s : s + m], own, weight, index.unseen)
                         if found >= threshold - 1e-9 and found > known:
                             best[item] = (min(found, 1.0), int(apart[o]), s, span)
     return best
@@ -180,7 +204,19 @@ def searcher(shared, threshold: float):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
+def shingles(n: int):
+    """(item_id, text) -> the distinct shingles of each item that has any words."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0)
+            found = [np.unique(W.grams(words, min(n, len(words)))) if len(words) and ids[k].is_valid else np.zeros(0, W.U) for k, words in W.per_row(batch.column(1), True)]
+            yield pa.RecordBatch.from_arrays([W.lists([W.signed(f) for f in found])], names=["grams"])
+
+    return run
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8, at_a_time: int = ITEMS) -> DataFrame:
     """``docs(doc_id, text, ...)``, ``benchmark(item_id, text, ...)`` -> a row for each item that a document holds.
 
     ``doc_id, item_id, similarity, distance, start, n_words``: the best window, in words, and the bits that its
@@ -188,12 +224,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold:
     """
     spark = docs.sparkSession
     prepare(spark)
+    scratch = Scratch(spark)
     docs, items = documents(docs, "doc_id", "text"), documents(benchmark, "item_id", "text")
-    parts = max(1, -(-items.count() // ITEMS))
+    parts = max(1, -(-items.count() // at_a_time))
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    held = items.select("item_id", "text").mapInArrow(shingles(n), "grams array<long>").filter("size(grams) > 0")
+    total = held.count()
+    owners = scratch.save(held.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("owners")), "owners")
     out = None
     for part in range(parts):
-        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).toArrow()
-        index = Index(block.column("item_id").to_pylist(), block.column("text").combine_chunks(), n)
+        block = items.filter(F.col("part") == part).select("item_id", "text")
+        own = block.mapInArrow(shingles(n), "grams array<long>").select(F.explode("grams").alias("gram")).distinct()
+        counted = owners.join(own, "gram", "left_semi").toArrow()  # as many as the part's items have
+        known = dict(zip(counted.column("gram").to_numpy().view(np.uint64).tolist(), counted.column("owners").to_pylist(), strict=True))
+        rows = block.toArrow()
+        index = Index(rows.column("item_id").to_pylist(), rows.column("text").combine_chunks(), n, known, total)
         if not index.items:
             continue
         found = docs.mapInArrow(searcher(spark.sparkContext.broadcast(index), threshold), OUT_SQL)

@@ -8,8 +8,10 @@ starts in a document with a smaller id. Documents are parsed against reference b
    in repetitive text has the repetition on both sides.
 2. Reference blocks. Only the blocks of a document that hold indexed occurrences are cut out, with their context, and
    each document is sent the blocks that it shares anchors with, once each.
-3. Factors. From each anchor the match with the block is extended both ways as far as it goes; overlapping extents on
-   one diagonal are one greedy factor. A factor of at least ``window`` words is a duplicate span.
+3. Factors. From each anchor the match with the block is extended both ways to the first word that differs or the block's
+   end. A document is then parsed greedily from left to right: of the matches that begin where the parse stands or
+   before, the one that reaches furthest is the next factor. Blocks overlap by a window, so a longer match goes on in the
+   next block's factor. The windows of a factor of at least ``window`` words are duplicates.
 4. Factor boundaries. A window with a shared anchor that no factor covers, as it crosses a factor's end, may still
    occur in another document than the indexed one. These windows alone are grouped by hash with their smallest id.
 
@@ -17,7 +19,8 @@ Equal word sequences fall together before step 1, so groups of copies cost one g
 64-bit hash collisions; no group is capped, and no group's pairs are formed.
 
 Defined cases: a null text has no words; windows are judged on the input; rows with one and the same id don't remove
-each other's words; rows with a null id neither remove nor lose words.
+each other's words; rows with a null id neither remove nor lose words; very long texts are parsed whole; of equal anchors
+in a window the first counts; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -103,16 +106,28 @@ def blocks(window: int):
     return run
 
 
-def extents(x: np.ndarray, p: np.ndarray, ref: np.ndarray, q: np.ndarray, k: int, far: int) -> tuple[np.ndarray, np.ndarray]:
-    """How many words match left of p and right of p+k, far at most each; -1 and 0 where the k-grams themselves differ."""
-    reach = np.arange(-far, k + far)
-    i, j = p[:, None] + reach, q[:, None] + reach
-    inside = (i >= 0) & (i < len(x)) & (j >= 0) & (j < len(ref))
-    same = inside & (x[np.clip(i, 0, len(x) - 1)] == ref[np.clip(j, 0, len(ref) - 1)])
-    core = same[:, far : far + k].all(axis=1)
-    left = np.where(core, np.cumprod(same[:, far - 1 :: -1], axis=1).sum(axis=1), -1)
-    right = np.where(core, np.cumprod(same[:, far + k :], axis=1).sum(axis=1), 0)
-    return left, right
+def matches(x: np.ndarray, p: np.ndarray, ref: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The longest matches [from, to) of x with ref around the k-grams at p and q; empty where these differ."""
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    at = np.arange(len(ref))
+    for i in range(0, len(p), 2048):
+        pp, qq = p[i : i + 2048, None], q[i : i + 2048, None]
+        there = pp - qq + at
+        apart = (there < 0) | (there >= len(x)) | (x[np.clip(there, 0, len(x) - 1)] != ref)
+        left = np.where(apart & (at < qq), at, -1).max(axis=1) + 1
+        right = np.where(apart & (at >= qq), at, len(ref)).min(axis=1)
+        shift = (pp - qq)[:, 0]
+        whole = right >= qq[:, 0] + k
+        starts.append((left + shift)[whole]), ends.append((right + shift)[whole])
+    return np.concatenate(starts), np.concatenate(ends)
+
+
+def parse(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The greedy parse of some matches: from left to right, always the one that reaches furthest."""
+    order = np.lexsort((-ends, starts))
+    starts, ends = starts[order], ends[order]
+    before = np.maximum.accumulate(np.concatenate([[-1], ends]))[:-1]
+    return starts[ends > before], ends[ends > before]
 
 
 def factor(words: np.ndarray, hits: list[dict], mine: int, window: int):
@@ -121,25 +136,22 @@ def factor(words: np.ndarray, hits: list[dict], mine: int, window: int):
     anchor, _ = minimizers(words, window)
     dup = np.zeros(len(anchor), bool)
     left_over = np.zeros(len(anchor), bool)
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for hit in hits:
         if hit["f1"] != mine:
             continue
         p = np.array(hit["p"], np.int64)
-        lo, hi = np.searchsorted(anchor, p, "left"), np.searchsorted(anchor, p, "right")
+        for a, b in zip(np.searchsorted(anchor, p, "left"), np.searchsorted(anchor, p, "right"), strict=True):
+            left_over[a:b] = True
         if hit["words"] is None:  # further occurrences within the indexed document itself
-            for a, b in zip(lo, hi, strict=True):
-                left_over[a:b] = True
             continue
         raw = hit["words"]
         ref, _ = W.word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), False)
         base = max(0, hit["block"] * BLOCK - (window - k))
-        left, right = extents(words, p, ref, np.array(hit["q"], np.int64) - base, k, window - k)
-        for a, b, c, l, r in zip(lo.tolist(), hi.tolist(), p.tolist(), left.tolist(), right.tolist(), strict=True):
-            left_over[a:b] = True
-            if l >= 0:
-                s, e = max(a, c - l), min(b, c + k + r - window + 1)
-                if s < e:
-                    dup[s:e] = True
+        begin, end = matches(words, p, ref, np.array(hit["q"], np.int64) - base, k)
+        starts.append(begin[end - begin >= window]), ends.append(end[end - begin >= window])
+    for a, b in zip(*parse(np.concatenate(starts), np.concatenate(ends)), strict=True):
+        dup[a : b - window + 1] = True
     edges = np.flatnonzero(np.diff(np.concatenate([[0], dup.view(np.int8), [0]])))
     rest = np.flatnonzero(left_over & ~dup)
     hashes = W.grams(words, window)[rest] if len(rest) else np.zeros(0, W.U)

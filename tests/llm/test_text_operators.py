@@ -13,10 +13,11 @@ from quillspark.llm.components import components
 from quillspark.llm.fingerprints import edited_fingerprints, fingerprints, locate_edits, merkle
 from quillspark.llm.language_id import language_id
 from quillspark.llm.ngram_join import ngram_jaccard_join
+from quillspark.llm.pretokens import Splitter, read_file
 from quillspark.llm.runtime import Scratch
-from quillspark.llm.secrets import log10_guesses, redacted, secret_scan, written
-from quillspark.llm.substring_dedup import substring_dedup
-from quillspark.llm.token_counts import token_counts
+from quillspark.llm.secrets import log10_guesses, ranked, redacted, scan, secret_scan, segments, uncovered, written
+from quillspark.llm.substring_dedup import matches, parse, substring_dedup
+from quillspark.llm.token_counts import Lengths, token_counts
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 WORDS = [f"{a}{b}" for a in "bcdfghklm" for b in ("an", "el", "ir", "ost", "un")]
@@ -145,6 +146,19 @@ def test_substring_dedup_equals_brute_force(spark, docs):
     assert substring_dedup(odd.limit(0)).count() == 0
 
 
+def test_greedy_parse_covers_what_all_matches_cover():
+    rng = random.Random(4)
+    for _ in range(100):
+        spans = [(a, a + rng.randrange(1, 12)) for a in (rng.randrange(40) for _ in range(8))]
+        import numpy as np
+
+        begin, end = parse(*map(np.array, zip(*spans)))
+        cover = lambda xs: {(a + k, a + k + 5) for a, b in xs for k in range(b - a - 4)}
+        assert cover(zip(begin.tolist(), end.tolist())) == cover(spans) and list(end) == sorted(end)
+    x, ref = np.array([9, 1, 2, 3, 4, 8], np.uint64), np.array([0, 1, 2, 3, 4], np.uint64)
+    assert [a.tolist() for a in matches(x, np.array([2, 0]), ref, np.array([2, 0]), 2)] == [[1], [5]]
+
+
 SPECIAL = ["Hello<|endoftext|>World <|startoftext|>!", "İstanbul ΣΑΣ ŉ ſ don't WE'LL !!'s", "é café \x85\xa0\x1c", "日本語 ½ 12", "­ ªº ﬁ ẞ 😀", "ܼİ", "a\x00b"]
 
 
@@ -164,6 +178,27 @@ def test_token_counts_and_codec_equal_the_library(spark, docs):
     assert token_counts(docs.limit(0), TOKENIZER).count() == 0 and bpe_encode(docs.limit(0), TOKENIZER).count() == 0
 
 
+def test_splitter_equals_the_library():
+    """Every character below U+0300 alone and between letters, and random strings of them."""
+    split, library = Splitter(read_file(TOKENIZER)), Tokenizer.from_file(TOKENIZER)
+    rng = random.Random(12)
+    letters = [chr(c) for c in range(1, 0x300)]
+    texts = [t for c in letters for t in (c, f"a{c}b", f" {c} X")] + ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) for _ in range(20_000)]
+    texts += ["MƏN Bakıda yaşayıram", "ŭȈāɄłȲĵŤ¾Ċ", *SPECIAL]
+    for text in texts:
+        assert [i for w in split.split(text) for i in split.encode(w)] == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_token_counts_keep_their_caches():
+    split = Splitter(read_file(TOKENIZER))
+    kept = Lengths(split)
+    table = {"hello": 1}
+    kept.start(table)
+    first = kept["unheardofword"]
+    kept.start(dict(table))
+    assert dict.__contains__(kept, "unheardofword") and kept["unheardofword"] == first == len(split.encode("unheardofword"))
+
+
 def test_packed_lists_round_trip():
     import numpy as np
 
@@ -188,6 +223,20 @@ def test_language_id_learns_from_training_rows_only(spark):
     assert {r.lang_pred for r in language_id(df.filter("lang is null")).collect()} == {"und"}
 
 
+def test_language_id_does_not_depend_on_partitions(spark):
+    rng = random.Random(3)
+    kinds = {"aa": ["salo", "mira", "tolu"], "bb": ["xekz", "qwix", "sami"]}
+    rows = [(k, " ".join(rng.choice(kinds[g]) for _ in range(9)), g) for k in range(300) for g in [rng.choice(["aa", "bb"])]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {tuple(r) for r in language_id(df.repartition(2)).collect()} == {tuple(r) for r in language_id(df.repartition(7, "text")).collect()}
+
+
+def test_language_id_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language_id(docs).filter("held_out").join(docs.filter("lang is not null").select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) > 100 and sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got)
+
+
 def brute_secrets(text):
     kinds = [
         ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -215,6 +264,48 @@ def test_secrets_that_fixed_patterns_cut_short_are_marked_whole(spark):
     assert got[0]["all"] == "assign:0:20,guess:11:27" and "guess" not in got[1]["all"]
 
 
+def cheapest(value, ranks):
+    """The price of the cheapest of all segmentations, each tried."""
+    priced = {}
+    for a, b, price in segments(value, ranks):
+        priced.setdefault(a, []).append((b, price))
+
+    def rest(at):
+        return 0.0 if at == len(value) else min(price + rest(to) for to, price in priced[at])
+
+    return rest(0)
+
+
+def test_guess_cost_is_that_of_the_cheapest_segmentation():
+    rng = random.Random(7)
+    ranks = ranked(["maple", "river", "ple"])
+    parts = ["maple", "R1v3r", "2023", "qwe", "aaa", "xY", "12-5-1999", "ab", "İ", "pass"]
+    for _ in range(150):
+        value = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 4)))[:12]
+        assert log10_guesses(value, ranks) == pytest.approx(cheapest(value, ranks)), value
+    known = {(a, b): p for a, b, p in segments("maple", ranks)}
+    assert known[0, 5] < log10_guesses("maplx", ranks) and log10_guesses("maple", ranked([])) > log10_guesses("maple", ranks)
+    assert log10_guesses("İ" * 20 + "x9$Lq2!vRt8Z") > log10_guesses("x9$Lq2!vRt8Z") > 9
+
+
+def test_corpus_words_are_cheap_and_spans_are_found_in_linear_time(spark):
+    rows = [(k, "The secret is patiencewins and patiencewins again") for k in range(3)] + [(9, "my password is zq7Kd-Wm2x now"), (9, "my password is zq7Kd-Wm2x now"), (10, "x " * 100_000 + "pwd: Kp3vQz81Lm"), (11, None)]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, spans string")
+    got = secret_scan(df, carry=("spans",)).collect()
+    assert len(got) == 7 and got[0].asDict().keys() == {"doc_id", "text", "spans"}
+    found = {r[0]: [s.kinds for s in r[3]] for r in got}
+    assert found == {0: [], 1: [], 2: [], 9: ["guess"], 10: ["guess"], 11: []}
+    assert secret_scan(df.limit(0)).count() == 0
+    rng = random.Random(5)
+    for _ in range(200):
+        base = sorted((a, 0, a + rng.randrange(1, 9)) for a in rng.sample(range(60), 6))
+        values = sorted((a, a + rng.randrange(1, 9)) for a in rng.sample(range(60), 6))
+        values = [v for k, v in enumerate(values) if not k or v[0] >= values[k - 1][1]]
+        held = {x for a, _, b in base for x in range(a, b)}
+        assert uncovered(values, base) == [any(x not in held for x in range(a, b)) for a, b in values]
+    assert [s[3] is not None for s in scan("password=hunter2x AKIA" + "A" * 16, 9.0)] == [True, False]
+
+
 def test_guess_costs():
     weak, strong = ["password123", "qwertyuiop", "aaaaaaaaaaaa", "2023-11-05", "abcabcabcabc", "changeme2020"], ["x9$Lq2!vRt8Z", "f3ef4d6b2755a36d7d9c", "Kp3vQz81Lm"]
     assert max(map(log10_guesses, weak)) < 6 < 9 < min(map(log10_guesses, strong))

@@ -12,7 +12,9 @@ one message by turn). The order is found by ranking the tree's tour with pointer
 replies nor a message with very many replies meets in one task.
 
 Defined cases: a null text is an empty message; quotes of unknown text are cut out and linked to nothing; rows with one
-(conv_id, turn) are one message for linking and keep a row each; a null conv_id or turn is linked to nothing.
+(conv_id, turn) are one message for linking and keep a row each; a null conv_id or turn is linked to nothing; of messages
+that equally much of a quote comes from, a nearer one wins, then the later; very long messages are parsed whole; extra
+columns are not read.
 """
 
 from __future__ import annotations

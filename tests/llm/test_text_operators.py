@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from quillspark.llm.bpe_codec import bpe_decode, bpe_encode, pack, unpack
 from quillspark.llm.components import components
-from quillspark.llm.fingerprints import edited_fingerprints, fingerprints, locate_edits, merkle
+from quillspark.llm.fingerprints import edited_fingerprints, fingerprints, likeness, locate_edits, merkle, parsed
 from quillspark.llm.language_id import language_id
 from quillspark.llm.ngram_join import ngram_jaccard_join
 from quillspark.llm.pretokens import Splitter, read_file
@@ -330,13 +330,37 @@ def test_fingerprints(spark, docs):
     assert fingerprints(odd).select("fingerprint").distinct().count() == 3
 
 
-def test_likeness_counts_every_piece(spark):
-    lines = [f"Line {k} of text.\n" for k in range(300)]
-    texts = {0: lines, 1: lines[:299] + ["Other end.\n"], 2: [f"New {k}.\n" for k in range(280)] + lines[:20]}
-    rows = [(k, "".join(x)) for k, x in texts.items()]
-    got = by_id(edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")))
-    dice = lambda a, b: 2 * len(set(a) & set(b)) / (len(set(a)) + len(set(b)))
-    assert [got[k].near_next for k in range(3)] == pytest.approx([dice(texts[k], texts[(k + 1) % 3]) for k in range(3)])
+def plain_tree(text):
+    """Sections of paragraphs of pieces."""
+    import regex
+
+    paragraphs = lambda part: [regex.findall(r"[^.!?]{1,48}[.!?]{0,8}[ \t-\r]?|[.!?]{1,8}[ \t-\r]?", line) for line in regex.split(r"(?V1)(?<=\n)", part)]
+    return [paragraphs(part) for part in regex.split(r"(?V1)(?<=\n\n)", text)]
+
+
+def plain_likeness(a, b):
+    """Walks both trees: an equal section or paragraph is shared whole, others by their pieces."""
+    size = lambda pieces: sum(map(len, set(pieces)))
+    x, y = ([p for s in plain_tree(t) for line in s for p in line] for t in (a, b))
+    assert "".join(x) == a and "".join(y) == b
+    return 1.0 if a == b else min(2 * size(set(x) & set(y)) / max(size(x) + size(y), 1), 0.999999)
+
+
+def test_likeness_equals_that_of_plain_trees(spark):
+    rng = random.Random(8)
+    lines = [f"Line {k} of text, longer than a piece can ever be in these trees. It ends!?\n" + "\n" * (k % 7 == 0) for k in range(300)]
+    texts = ["".join(lines), "".join(lines[:299]) + "Other end.\n", "".join(f"New {k}.\n" for k in range(280)) + "".join(lines[:20]), "", "One line", "日本語 é 😀. " * 40, "...." * 30]
+    texts += ["".join(rng.choice(lines) for _ in range(rng.randrange(30))) for _ in range(20)]
+    got = by_id(edited_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for k, text in enumerate(texts):
+        after = texts[(k + 1) % len(texts)]
+        assert got[k].near_next == pytest.approx(plain_likeness(text, after)) and got[k].near_edited == pytest.approx(plain_likeness(text, got[k].edited))
+        node = lambda s: tuple(tuple(line) for line in s)
+        old = plain_tree(text)
+        edits = [(i, j) for i, s in enumerate(plain_tree(got[k].edited)) if node(s) not in set(map(node, old)) for j, line in enumerate(s) if line not in [x for y in old for x in y]]
+        assert [(e.section, e.paragraph) for e in got[k].edits] == edits
+    again = spark.createDataFrame([(got[0].fingerprint, got[1].fingerprint)], "a string, b string").select(likeness(parsed(F.col("a")), parsed(F.col("b"))).alias("x")).first().x
+    assert again == pytest.approx(got[0].near_next)
 
 
 def test_differing_branches_locate_edits(spark):

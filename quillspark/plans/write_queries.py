@@ -261,6 +261,9 @@ def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     said.append(("findAndModify", run(findAndModify="n", query={"_id": 3}, update={"$set": {"name": "x"}}, new=True)["value"]["name"]))
     said.append(("delete", run(delete="n", deletes=[{"q": {"region": 7}, "limit": 0}])["n"]))
     said.append(("duplicate", run(insert="n", documents=[{"_id": 100}, {"_id": 1}, {"_id": 101}])["writeErrors"][0]["code"]))
+    said.append(("getLastError", run(getLastError=1)["code"]))
+    run(ISMASTER=1)
+    said.append(("reset", run(getlasterror=1)["err"]))
     said.append(("left", run(count="n", query={})["n"]))
     return _said(spark, said)
 
@@ -287,7 +290,8 @@ def _admin(spark: SparkSession, sf_dir: str) -> DataFrame:
     cursor = session.run("other", {"find": "b", "batchSize": 2})["cursor"]["id"]
     said.append(("killCursors", run(killCursors="b", cursors=[cursor, 77])["cursorsNotFound"]))
     said.append(("getMore killed", run(getMore=cursor)["code"]))
-    said += [(c, run(**{c: 1})["ok"]) for c in ("ping", "isMaster", "buildInfo", "serverStatus", "whatsmyuri")]
+    said += [(c, run(**{c: 1})["ok"]) for c in ("ping", "isMaster", "buildInfo", "serverStatus", "whatsmyuri", "hostInfo", "connectionStatus", "getCmdLineOpts", "getFreeMonitoringStatus", "endSessions", "resetError")]
+    said.append(("getLog", run(getLog="*")["names"]))
     said.append(("unknown", run(nonsense=1)["code"]))
     said.append(("drop", session.run("other", {"drop": "b"})["ok"]))
     said.append(("dropDatabase", session.run("other", {"dropDatabase": 1})["ok"]))
@@ -345,13 +349,13 @@ QUERIES["commands_data"] = Query(
        SELECT 'legacy', string_agg(n_nationkey, ',' ORDER BY n_nationkey DESC) FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'count', CAST(count(*) AS VARCHAR) FROM nation WHERE n_regionkey = 1 UNION ALL
        SELECT 'distinct', '[' || string_agg(DISTINCT n_regionkey, ', ' ORDER BY n_regionkey) || ']' FROM nation UNION ALL SELECT 'aggregate', CAST(max(n_nationkey) AS VARCHAR) FROM nation UNION ALL
        SELECT 'update', CAST(count(*) AS VARCHAR) FROM nation WHERE n_regionkey = 0 UNION ALL SELECT 'findAndModify', 'x' UNION ALL SELECT 'delete', CAST(count(*) AS VARCHAR) FROM nation WHERE n_regionkey = 0 UNION ALL
-       SELECT 'duplicate', '11000' UNION ALL SELECT 'left', CAST(count(*) + 1 AS VARCHAR) FROM nation WHERE n_regionkey <> 0""",
+       SELECT 'duplicate', '11000' UNION ALL SELECT 'getLastError', '11000' UNION ALL SELECT 'reset', 'None' UNION ALL SELECT 'left', CAST(count(*) + 1 AS VARCHAR) FROM nation WHERE n_regionkey <> 0""",
 )
 QUERIES["commands_admin"] = Query(
     _admin,
     """SELECT * FROM (VALUES ('create', '1'), ('create again', '48'), ('createIndexes', '2'), ('listIndexes', '[(''_id_'', {''_id'': 1}), (''v_-1'', {''v'': -1})]'), ('indexStats', '[(''_id_'', {''_id'': 1}, 2, 0), (''v_-1'', {''v'': -1}, 2, 0)]'),
        ('system.indexes', '2'), ('dropIndexes', '1'), ('namespaces', '[''db.a'']'), ('collStats', '5'), ('dbStats', '5'), ('validate', 'True'), ('renameCollection', '1'), ('listCollections', '[''b'']'), ('listDatabases', '[''db'', ''other'']'),
-       ('killCursors', '[77]'), ('getMore killed', '43'), ('ping', '1'), ('isMaster', '1'), ('buildInfo', '1'), ('serverStatus', '1'), ('whatsmyuri', '1'), ('unknown', '59'), ('drop', '1'), ('dropDatabase', '1'),
+       ('killCursors', '[77]'), ('getMore killed', '43'), ('ping', '1'), ('isMaster', '1'), ('buildInfo', '1'), ('serverStatus', '1'), ('whatsmyuri', '1'), ('hostInfo', '1'), ('connectionStatus', '1'), ('getCmdLineOpts', '1'), ('getFreeMonitoringStatus', '1'), ('endSessions', '1'), ('resetError', '1'), ('getLog', '[''startupWarnings'']'), ('unknown', '59'), ('drop', '1'), ('dropDatabase', '1'),
        ('read-only insert', '20'), ('read-only create', '20'), ('read-only drop', '20'), ('read-only dropIndexes', '20')) t(command, reply)""",
 )
 QUERIES["errors_refused"] = Query(

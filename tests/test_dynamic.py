@@ -5,9 +5,11 @@ import decimal
 import json
 
 import pytest
+from pyspark.sql import types as T
 
 from quillspark.errors import QueryError
 from quillspark.functions.dynamic import Dynamic
+from quillspark.sources import bson
 from quillspark.sources.bson import BsonSource, decode, encode
 
 DOCS = [{"k": 1, "a": 5}, {"k": 2, "a": 5.0}, {"k": 3, "a": "5"}, {"k": 4, "a": None}, {"k": 5}, {"k": 6, "a": [1, 5]}, {"k": 7, "a": {"b": 2}}, {"k": 8, "a": True}, {"k": 9, "a": 7.5}]
@@ -56,7 +58,7 @@ def test_tagged_json_keeps_types(spark):
     assert json.loads(tagged(df).first().doc)["a"] == {"$numberLong": str(1 << 60)}
 
 
-def test_bson_round_trip(spark, tmp_path):
+def test_bson_round_trip(spark, tmp_path, monkeypatch):
     when = datetime.datetime(2020, 5, 17, 1, 2, 3, 4000, tzinfo=datetime.timezone.utc)
     d = {"_id": {"$oid": "ab" * 12}, "i": 1, "l": 1 << 40, "d": 1.5, "s": "é", "b": b"\x01", "n": None, "t": True, "w": when, "xs": [1, "two", {"three": 3.0}]}
     want = d | {"b": {"$binary": {"base64": "AQ==", "subType": "00"}}, "w": {"$date": "2020-05-17T01:02:03.004Z"}}
@@ -65,5 +67,13 @@ def test_bson_round_trip(spark, tmp_path):
     spark.dataSource.register(BsonSource)
     rows = [json.loads(r.doc) for r in spark.read.format("bson").load(str(tmp_path)).collect()]
     assert rows == [want, {"x": 2}]
+    monkeypatch.setattr(bson, "PART", 100)
+    parts = bson._Reader(str(tmp_path / "a.bson"), T.StructType.fromDDL("doc string")).partitions()
+    assert [p.value[1:] for p in parts] == [(0, len(encode(d))), (len(encode(d)), len(encode(d)) + len(encode({"x": 2})))]
+    kind = "_id string, i int, l long, d double, s string, b binary, n string, t boolean, w timestamp, xs array<string>, gone int"
+    one = spark.read.format("bson").schema(kind).load(str(tmp_path)).first()
+    assert (one._id, one.i, one.l, one.d, one.s, bytes(one.b), one.n, one.t, one.gone) == ("ab" * 12, 1, 1 << 40, 1.5, "é", b"\x01", None, True, None)
+    assert one.w == when.replace(microsecond=4000).astimezone().replace(tzinfo=None) or one.w == when.replace(tzinfo=None)
+    assert one.xs == ["1", "two", '{"three": 3.0}']
     with pytest.raises(ValueError):
         decode(encode(d)[:4] + b"\x00" + encode(d)[5:])

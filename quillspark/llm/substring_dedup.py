@@ -7,7 +7,7 @@ starts in a document with a smaller id. Documents are parsed against reference b
    index keeps, for each anchor that two documents share, one occurrence in the smallest of them: the middle one, which
    in repetitive text has the repetition on both sides.
 2. Reference blocks. Only the blocks of a document that hold indexed occurrences are cut out, with their context, and
-   each document is sent the blocks that it shares anchors with, once each.
+   each document is sent the blocks that it shares anchors with, once each and as rows of their own.
 3. Factors. From each anchor the match with the block is extended both ways to the first word that differs or the block's
    end. A document is then parsed greedily from left to right: of the matches that begin where the parse stands or
    before, the one that reaches furthest is the next factor. Blocks overlap by a window, so a longer match goes on in the
@@ -35,8 +35,6 @@ from quillspark.llm.runtime import Scratch, documents, prepare, small
 
 #: Words of a reference block without its context.
 BLOCK = 256
-#: Rows of the index that are broadcast at most (two longs each); beyond it the join shuffles.
-INDEX_ROWS = 200_000
 SKETCH_SQL = "doc_id long, f1 long, f2 long, n_words long, anchors array<long>, at array<int>"
 FACTOR_SQL = "doc_id long, f1 long, runs array<int>, hashes array<long>, starts array<int>"
 OUT_SQL = "doc_id long, n_words long, n_removed long, kept string, spans array<int>"
@@ -130,46 +128,69 @@ def parse(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[ends > before], ends[ends > before]
 
 
-def factor(words: np.ndarray, hits: list[dict], mine: int, window: int):
-    """Duplicate windows as runs [from, to), and the hashes and starts of windows that cross factor boundaries."""
-    k = window // 2
-    anchor, _ = minimizers(words, window)
-    dup = np.zeros(len(anchor), bool)
-    left_over = np.zeros(len(anchor), bool)
-    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for hit in hits:
-        if hit["f1"] != mine:
-            continue
-        p = np.array(hit["p"], np.int64)
-        for a, b in zip(np.searchsorted(anchor, p, "left"), np.searchsorted(anchor, p, "right"), strict=True):
-            left_over[a:b] = True
-        if hit["words"] is None:  # further occurrences within the indexed document itself
-            continue
-        raw = hit["words"]
+class Parsing:
+    """The parse of one document, as the blocks that it shares anchors with come in one by one."""
+
+    def __init__(self, raw: bytes, window: int):
+        self.words, _ = W.word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), False)
+        self.window, self.k, self.name = window, window // 2, fingerprints(self.words)[0]
+        self.anchor, _ = minimizers(self.words, window)
+        self.open = np.zeros(len(self.anchor), bool)  # windows with a shared anchor
+        self.starts, self.ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def add(self, block: int, raw: bytes | None, p: np.ndarray, q: np.ndarray) -> None:
+        for a, b in zip(np.searchsorted(self.anchor, p, "left"), np.searchsorted(self.anchor, p, "right"), strict=True):
+            self.open[a:b] = True
+        if raw is None:  # further occurrences within the indexed document itself
+            return
         ref, _ = W.word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), False)
-        base = max(0, hit["block"] * BLOCK - (window - k))
-        begin, end = matches(words, p, ref, np.array(hit["q"], np.int64) - base, k)
-        starts.append(begin[end - begin >= window]), ends.append(end[end - begin >= window])
-    for a, b in zip(*parse(np.concatenate(starts), np.concatenate(ends)), strict=True):
-        dup[a : b - window + 1] = True
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], dup.view(np.int8), [0]])))
-    rest = np.flatnonzero(left_over & ~dup)
-    hashes = W.grams(words, window)[rest] if len(rest) else np.zeros(0, W.U)
-    return edges.astype(np.int32), hashes, rest.astype(np.int32)
+        base = max(0, block * BLOCK - (self.window - self.k))
+        begin, end = matches(self.words, p, ref, q - base, self.k)
+        self.starts.append(begin[end - begin >= self.window]), self.ends.append(end[end - begin >= self.window])
+
+    def factors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Duplicate windows as runs [from, to), and the hashes and starts of windows that cross factor boundaries."""
+        dup = np.zeros(len(self.anchor), bool)
+        for a, b in zip(*parse(np.concatenate(self.starts), np.concatenate(self.ends)), strict=True):
+            dup[a : b - self.window + 1] = True
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], dup.view(np.int8), [0]])))
+        rest = np.flatnonzero(self.open & ~dup)
+        hashes = W.grams(self.words, self.window)[rest] if len(rest) else np.zeros(0, W.U)
+        return edges.astype(np.int32), hashes, rest.astype(np.int32)
+
+
+#: What stands for a block's number in the rows of documents themselves.
+TEXT = -2
 
 
 def factors(window: int):
+    """(doc_id, f1, block, words, p, q), each document's text before its blocks -> its factors; one document is held at a time."""
+
+    def batch(done: list[tuple[int, Parsing]]) -> pa.RecordBatch:
+        found = [x.factors() for _, x in done]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([i for i, _ in done], pa.int64()), pa.array([x.name for _, x in done], pa.int64()), W.lists([f[0] for f in found], np.int32), W.lists([W.signed(f[1]) for f in found]), W.lists([f[2] for f in found], np.int32)],
+            names=["doc_id", "f1", "runs", "hashes", "starts"],
+        )
+
     def run(batches):
-        for batch in batches:
-            for start in range(0, len(batch), 64):
-                part = batch.slice(start, 64)
-                hits = part.column(2).to_pylist()
-                f1, runs, hashes, starts = [], [], [], []
-                for k, words in W.per_row(part.column(1), False):
-                    mine = fingerprints(words)[0]
-                    a, b, c = factor(words, hits[k], mine, window)
-                    f1.append(mine), runs.append(a), hashes.append(W.signed(b)), starts.append(c)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(f1, pa.int64()), W.lists(runs, np.int32), W.lists(hashes), W.lists(starts, np.int32)], names=["doc_id", "f1", "runs", "hashes", "starts"])
+        mine: list[tuple[int, Parsing]] = []
+        for rows in batches:
+            ids, names, numbers = (rows.column(k).to_pylist() for k in range(3))
+            for k, (doc, f1, block) in enumerate(zip(ids, names, numbers, strict=True)):
+                if mine and mine[0][0] != doc:
+                    yield batch(mine)
+                    mine = []
+                raw = rows.column(3)[k].as_py()
+                if block == TEXT:
+                    mine.append((doc, Parsing(raw or b"", window)))
+                    continue
+                p, q = (rows.column(c)[k].values.to_numpy().astype(np.int64) for c in (4, 5))
+                for _, x in mine:
+                    if x.name == f1:
+                        x.add(block, raw, p, q)
+        if mine:
+            yield batch(mine)
 
     return run
 
@@ -233,8 +254,8 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     apart = long.join(small(copies), ["doc_id", "f1"], "left_anti")
     seen = apart.select("doc_id", "f1", F.explode(F.arrays_zip("anchors", "at")).alias("x")).select("doc_id", "f1", F.col("x.anchors").alias("h"), F.col("x.at").alias("p"))
     index = seen.groupBy("h").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").drop("last")
-    # saved first, so that the join shuffles both sides anew and splits a common anchor, or broadcasts a small index
-    shared = save(seen.join(small(save(index, "index"), INDEX_ROWS), "h"), "shared")
+    # saved first, so that the join shuffles both sides anew and a common anchor is split
+    shared = save(seen.join(save(index, "index"), "h"), "shared")
     held = shared.filter("doc_id = hub").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("p", "f1"))).alias("x"))
     first = held.withColumn("x", F.element_at("x", F.floor(F.size("x") / 2).cast("int") + 1)).select("h", F.col("x.p").alias("q"), F.col("x.f1").alias("hub_f1"))
     located = shared.join(save(first, "first"), "h").filter("not (doc_id = hub and p = q and f1 = hub_f1)")
@@ -250,13 +271,14 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
         .groupBy(F.col("hub").alias("doc_id")).agg(F.collect_list(F.struct(F.col("hub_f1").alias("f1"), "blocks")).alias("wanted")),
         "wanted",
     )
-    index_blocks = save(docs.join(small(wanted, 100_000), "doc_id").select("doc_id", "text", "wanted").mapInArrow(blocks(window), "hub long, hub_f1 long, block int, words binary").dropDuplicates(["hub", "hub_f1", "block"]), "blocks")
-    hits = (
-        pairs.join(index_blocks, ["hub", "hub_f1", "block"], "left")
-        .groupBy("doc_id").agg(F.collect_list(F.struct("f1", "block", "p", "q", "words")).alias("hits"))
-    )
+    index_blocks = save(docs.join(small(wanted), "doc_id").select("doc_id", "text", "wanted").mapInArrow(blocks(window), "hub long, hub_f1 long, block int, words binary").dropDuplicates(["hub", "hub_f1", "block"]), "blocks")
+    # a document's text and then, one by one, the blocks that it shares anchors with
     needing = small(save(pairs.select("doc_id").distinct(), "needing"))
-    factored = save(docs.join(needing, "doc_id", "left_semi").join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(factors(window), FACTOR_SQL).dropDuplicates(["doc_id", "f1"]), "factored")
+    nowhere = F.array().cast("array<int>")
+    itself = docs.join(needing, "doc_id", "left_semi").select("doc_id", F.lit(None).cast("long").alias("f1"), F.lit(TEXT).alias("block"), F.col("text").cast("binary").alias("words"), nowhere.alias("p"), nowhere.alias("q"))
+    hits = pairs.join(index_blocks, ["hub", "hub_f1", "block"], "left").select("doc_id", "f1", "block", "words", "p", "q")
+    rows = itself.unionByName(hits).repartition("doc_id").sortWithinPartitions("doc_id", "block")
+    factored = save(rows.mapInArrow(factors(window), FACTOR_SQL).dropDuplicates(["doc_id", "f1"]), "factored")
     crossing = factored.select("doc_id", "f1", F.explode(F.arrays_zip("hashes", "starts")).alias("x")).select("doc_id", "f1", F.col("x.hashes").alias("h"), F.col("x.starts").alias("start"))
     twice = save(crossing.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last"), "twice")
     more = crossing.join(twice, "h").filter("doc_id > first").groupBy("doc_id", "f1").agg(F.collect_list("start").alias("starts"))

@@ -118,3 +118,66 @@ def test_errors(sales, stage, code):
     with pytest.raises(QueryError) as e:
         run_pipeline(sales, [stage])
     assert e.value.code == code
+
+
+def test_fields_used_of_a_lookup():
+    from quillspark.plans.lookup import fields_used
+
+    for following, want in [
+        ([{"$project": {"a": 1, "n": {"$size": "$x"}, "s": {"$sum": "$x.q"}}}], {"q"}),
+        ([{"$match": {"x.k": 1, "x": {"$elemMatch": {"r": 2, "q.z": 3}}}}, {"$project": {"a": 1}}], {"k", "r", "q"}),
+        ([{"$addFields": {"y": "$x.q"}}, {"$group": {"_id": "$y", "n": {"$sum": 1}}}], {"q"}),
+        ([{"$match": {"$expr": {"$gt": [{"$size": "$x"}, 1]}}}, {"$sort": {"a": 1}}, {"$limit": 3}, {"$count": "n"}], set()),
+        ([{"$project": {"x": 0}}], set()),
+        ([{"$project": {"x": 1}}], None),
+        ([{"$match": {"x": {"$ne": []}}}, {"$project": {"a": 1}}], None),
+        ([{"$project": {"y": "$x"}}], None),
+        ([{"$project": {"y": "$$ROOT"}}], None),
+        ([{"$unwind": "$x"}], None),
+        ([], None),
+    ]:
+        assert fields_used("x", following) == want, following
+    assert fields_used("x.y", [{"$project": {"a": 1}}]) is None
+
+
+def test_lookup_reads_only_what_is_used(spark, tmp_path):
+    spark.createDataFrame([(1, "a")], "k int, t string").write.parquet(f"{tmp_path}/left")
+    spark.createDataFrame([(1, 2.0, "long text"), (1, 3.0, "other")], "fk int, v double, text string").write.parquet(f"{tmp_path}/right")
+    left, right = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("left", "right"))
+    out = run_pipeline(left, [{"$lookup": {"from": "r", "localField": "k", "foreignField": "fk", "as": "x"}}, {"$project": {"k": 1, "n": {"$size": "$x"}, "s": {"$sum": "$x.v"}}}], lambda name: right)
+    assert [tuple(r) for r in out.collect()] == [(1, 2, 5.0)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "fk:int,v:double>" in plan.replace(" ", "") and "text:string" not in plan.split("right")[-1]
+
+
+ORDERS = [(1, 10, 5.0), (2, 10, 7.0), (3, 20, 1.0)]
+LINES = [(1, "a", [1, 2]), (1, "b", []), (2, "a", [3]), (2, "c", None), (9, "z", [4])]
+
+
+def test_any_stage_in_a_correlated_lookup(spark):
+    orders = spark.createDataFrame(ORDERS, "o int, c int, total double")
+    lines = spark.createDataFrame(LINES, "ol int, part string, tags array<int>")
+    get = lambda name: {"orders": orders, "lines": lines}.get(name)
+    of = {"$match": {"$expr": {"$eq": ["$ol", "$$o"]}}}
+
+    def inner(*stages):
+        spec = {"$lookup": {"from": "lines", "let": {"o": "$o", "t": "$total"}, "pipeline": [of, *stages], "as": "x"}}
+        return {r.o: [y.asDict(True) for y in r.x] for r in run_pipeline(orders, [spec], get).collect()}
+
+    part = {"$project": {"part": 1}}
+    assert inner({"$unwind": "$tags"}, {"$project": {"tags": 1}}) == {1: [{"tags": 1}, {"tags": 2}], 2: [{"tags": 3}], 3: []}
+    assert sorted(str(x) for x in inner({"$unwind": {"path": "$tags", "preserveNullAndEmptyArrays": True, "includeArrayIndex": "i"}}, {"$project": {"part": 1, "i": 1}})[2]) == ["{'part': 'a', 'i': 0}", "{'part': 'c', 'i': None}"]
+    assert inner({"$sort": {"part": -1}}, {"$skip": 1}, part) == {1: [{"part": "a"}], 2: [{"part": "a"}], 3: []}
+    assert inner({"$redact": {"$cond": [{"$eq": ["$part", "a"]}, "$$PRUNE", "$$KEEP"]}}, part) == {1: [{"part": "b"}], 2: [{"part": "c"}], 3: []}
+    assert {k: len(v) for k, v in inner({"$sample": {"size": 1}}).items()} == {1: 1, 2: 1, 3: 0}
+    assert inner({"$sortByCount": "$ol"}) == {1: [{"_id": 1, "count": 2}], 2: [{"_id": 2, "count": 2}], 3: []}
+    assert inner({"$bucket": {"groupBy": {"$add": ["$ol", "$$t"]}, "boundaries": [0, 7, 20]}}) == {1: [{"_id": 0, "count": 2}], 2: [{"_id": 7, "count": 2}], 3: []}
+    assert inner({"$facet": {"n": [{"$count": "n"}], "p": [{"$match": {"part": "a"}}, part]}}) == {1: [{"n": [{"n": 2}], "p": [{"part": "a"}]}], 2: [{"n": [{"n": 2}], "p": [{"part": "a"}]}], 3: [{"n": [], "p": []}]}
+    nested = {"$lookup": {"from": "orders", "let": {"l": "$ol"}, "pipeline": [{"$match": {"$expr": {"$and": [{"$eq": ["$o", "$$l"]}, {"$eq": ["$total", "$$t"]}]}}}, {"$project": {"c": 1}}], "as": "y"}}
+    assert inner({"$match": {"part": "a"}}, nested, {"$project": {"y": 1}}) == {1: [{"y": [{"c": 10}]}], 2: [{"y": [{"c": 10}]}], 3: []}
+    plain = {"$lookup": {"from": "orders", "localField": "ol", "foreignField": "o", "as": "y"}}
+    assert inner({"$match": {"part": "a"}}, plain, {"$project": {"y.total": 1}}) == {1: [{"y": [{"total": 5.0}]}], 2: [{"y": [{"total": 7.0}]}], 3: []}
+    for bad, code in (({"$out": "a"}, 51047), ({"$what": 1}, 40324), ({"$limit": 0}, 15958)):
+        with pytest.raises(QueryError) as e:
+            inner(bad)
+        assert e.value.code == code

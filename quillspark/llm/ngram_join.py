@@ -49,6 +49,9 @@ FEW = 16
 BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 20
 #: Sets that a task remembers, so that the keys of equal sets leave it once.
 REMEMBERED = 1 << 19
+#: Bits (a power of two) of the filter of shared keys that is broadcast: 16 MB, whatever the corpus. Keys that it lets
+#: through by chance cost a shuffle only.
+FILTER_BITS = 27
 
 
 def gram_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -160,6 +163,39 @@ def parsed(n: int, threshold: int):
     return run
 
 
+KEPT_SQL = "node long, class int, need int, parts int, keys array<long>"
+
+
+def key_filter(often: DataFrame) -> np.ndarray:
+    """One bit for each value of the first FILTER_BITS bits of a key, gathered by words of 64 before they reach the driver."""
+    place = often.select(F.shiftrightunsigned("key", 64 - FILTER_BITS).alias("i"))
+    words = place.groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out.view(W.U)
+
+
+def passing(filter_):
+    """(node, classes) -> a row for each class with the keys that the filter lets through."""
+
+    def run(batches):
+        bits = filter_.value
+        for batch in batches:
+            each = batch.column(1)
+            classes = each.flatten()
+            owner = np.repeat(batch.column(0).to_numpy(), np.diff(each.offsets.to_numpy()))
+            keys = classes.field("keys")
+            at = keys.offsets.to_numpy()
+            flat = keys.values.to_numpy()[at[0] : at[-1]]
+            place = flat.view(W.U) >> W.U(64 - FILTER_BITS)
+            keep = (bits[place >> W.U(6)] >> (place & W.U(63)) & W.U(1)).astype(bool)
+            ends = np.concatenate([[0], np.cumsum(keep)])[at - at[0]].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[keep]))
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), classes.field("class"), classes.field("need"), pa.array(np.diff(at).astype(np.int32)), lists], names=["node", "class", "need", "parts", "keys"])
+
+    return run
+
+
 def fine_keys(n: int, threshold: int):
     def run(batches):
         classes = Classes(threshold)
@@ -304,13 +340,17 @@ class Join:
         self.scratch.drop("sets", "judged", "ids", "wanted")
         return out
 
-    def front(self, keys: DataFrame) -> DataFrame:
-        """``keys(node, class, need, parts, key, ...)`` -> those that several nodes hold and that are among a node's ``need`` rarest, with place ``at``.
+    def front(self, rows: DataFrame) -> DataFrame:
+        """Parsed rows -> ``node, class, need, parts, key, held, at``: keys that are held more than once and are among a node's ``need`` rarest.
 
-        Keys that one node holds come first in the order and go at once; most keys are such.
+        Keys that are held once come first in the order, and go at once; most keys are such. A filter of fixed size tells
+        most of them where the keys are read, so hardly any but shared ones are shuffled a second time.
         """
-        often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key", "held")
-        shared = keys.join(self.scratch.save(often, "often"), "key").repartition("node", "class").dropDuplicates(["node", "class", "key"])
+        keys = rows.select(F.explode("classes.keys").alias("keys")).select(F.explode("keys").alias("key"))
+        often = self.scratch.save(keys.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "often")
+        passes = self.spark.sparkContext.broadcast(key_filter(often))
+        kept = rows.select("node", "classes").mapInArrow(passing(passes), KEPT_SQL).select("node", "class", "need", "parts", F.explode("keys").alias("key"))
+        shared = kept.join(often, "key").repartition("node", "class").dropDuplicates(["node", "class", "key"])
         one = Window.partitionBy("node", "class")
         rank = F.col("parts") - F.count(F.lit(1)).over(one) + F.row_number().over(one.orderBy("held", "key"))
         return shared.withColumn("at", rank).filter("at <= need")
@@ -363,8 +403,7 @@ class Join:
         ids = save(with_set.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("a")).filter("rows > 1"), "repeated")
         self.repeated = ids.limit(1).count() > 0
         tied = with_set.join(ids, "doc_id").filter("a <> node").select("a", F.col("node").alias("b")).distinct()  # sets of one id
-        keys = rows.select("node", F.explode("classes").alias("c")).select("node", "c.class", "c.need", F.size("c.keys").alias("parts"), F.explode("c.keys").alias("key"))
-        shared = save(self.front(keys).select("key", "node"), "front")
+        shared = save(self.front(rows).select("key", "node"), "front")
         hubs = shared.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub < far").select("key", "hub")
         pairs = save(shared.join(save(hubs, "hubs"), "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
         links = self.verified(pairs)

@@ -52,6 +52,8 @@ REMEMBERED = 1 << 19
 #: Bits (a power of two) of the filter of shared keys that is broadcast: 16 MB, whatever the corpus. Keys that it lets
 #: through by chance cost a shuffle only.
 FILTER_BITS = 27
+#: Bytes of the pieces in which executors pack it.
+PIECE_BYTES = 1 << 11
 
 
 def gram_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -166,13 +168,27 @@ def parsed(n: int, threshold: int):
 KEPT_SQL = "node long, class int, need int, parts int, keys array<long>"
 
 
+def marked(batches):
+    """(place) -> the pieces of the filter that a task's places are in, as bytes."""
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    met = np.zeros(len(bits) // PIECE_BYTES, bool)
+    for batch in batches:
+        place = batch.column(0).to_numpy()
+        np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
+        met[(place >> 3) // PIECE_BYTES] = True
+    at, pieces = np.flatnonzero(met), bits.reshape(-1, PIECE_BYTES)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([pieces[k].tobytes() for k in at.tolist()], pa.binary())], names=["piece", "bits"])
+
+
 def key_filter(often: DataFrame) -> np.ndarray:
-    """One bit for each value of the first FILTER_BITS bits of a key, gathered by words of 64 before they reach the driver."""
-    place = often.select(F.shiftrightunsigned("key", 64 - FILTER_BITS).alias("i"))
-    words = place.groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63 as int))")).alias("b")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
-    return out.view(W.U)
+    """One bit for each value of the first FILTER_BITS bits of a key, packed by executors: the driver gets these bits and no more."""
+    place = often.select(F.shiftrightunsigned("key", 64 - FILTER_BITS).cast("int").alias("place"))
+    packed = place.repartition(F.floor(F.col("place") / (8 * PIECE_BYTES))).mapInArrow(marked, "piece int, bits binary").toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8).reshape(-1, PIECE_BYTES)
+    for batch in packed.to_batches():
+        for k, bits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out[k] |= np.frombuffer(bits.as_buffer(), np.uint8)
+    return out.reshape(-1).view(W.U)
 
 
 def passing(filter_):
@@ -341,7 +357,7 @@ class Join:
         return out
 
     def front(self, rows: DataFrame) -> DataFrame:
-        """Parsed rows -> ``node, class, need, parts, key, held, at``: keys that are held more than once and are among a node's ``need`` rarest.
+        """Parsed rows -> a saved table ``key, node``: keys that are held more than once and are among a node's ``need`` rarest.
 
         Keys that are held once come first in the order, and go at once; most keys are such. A filter of fixed size tells
         most of them where the keys are read, so hardly any but shared ones are shuffled a second time.
@@ -353,7 +369,9 @@ class Join:
         shared = kept.join(often, "key").repartition("node", "class").dropDuplicates(["node", "class", "key"])
         one = Window.partitionBy("node", "class")
         rank = F.col("parts") - F.count(F.lit(1)).over(one) + F.row_number().over(one.orderBy("held", "key"))
-        return shared.withColumn("at", rank).filter("at <= need")
+        out = self.scratch.save(shared.withColumn("at", rank).filter("at <= need").select("key", "node"), "front")
+        passes.destroy()  # 16 MB in the driver and in each worker
+        return out
 
     def rarest(self, rest: DataFrame) -> DataFrame:
         """(key, node, label) of large groups -> the same with keys of finer segments, rarest first, as many as decide.
@@ -403,7 +421,7 @@ class Join:
         ids = save(with_set.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("a")).filter("rows > 1"), "repeated")
         self.repeated = ids.limit(1).count() > 0
         tied = with_set.join(ids, "doc_id").filter("a <> node").select("a", F.col("node").alias("b")).distinct()  # sets of one id
-        shared = save(self.front(rows).select("key", "node"), "front")
+        shared = self.front(rows)
         hubs = shared.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub < far").select("key", "hub")
         pairs = save(shared.join(save(hubs, "hubs"), "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
         links = self.verified(pairs)

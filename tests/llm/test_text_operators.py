@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from quillspark.llm.bpe_codec import bpe_decode, bpe_encode, pack, unpack
 from quillspark.llm.components import components
 from quillspark.llm.fingerprints import edited_fingerprints, fingerprints, likeness, locate_edits, merkle, parsed
 from quillspark.llm.language_id import language_id
-from quillspark.llm.ngram_join import ngram_jaccard_join
+from quillspark.llm.ngram_join import FILTER_BITS, key_filter, ngram_jaccard_join
 from quillspark.llm.pretokens import Splitter, read_file
 from quillspark.llm.runtime import Scratch
 from quillspark.llm.secrets import log10_guesses, ranked, redacted, scan, secret_scan, segments, uncovered, written
@@ -368,3 +369,14 @@ def test_differing_branches_locate_edits(spark):
     row = spark.createDataFrame([(before, after)], "a string, b string").select(locate_edits(merkle(F.col("a")), merkle(F.col("b"))).alias("e")).first()
     assert [(x.section, x.paragraph) for x in row.e] == [(1, 1)]
 
+
+def test_the_filter_of_shared_keys_reaches_the_driver_as_bits(spark, monkeypatch):
+    sent, frame = [], type(spark.range(1))
+    real = frame.toArrow
+    monkeypatch.setattr(frame, "toArrow", lambda self: (sent.append(real(self)), sent[-1])[1])
+    places = 3 * np.arange(1 << 19)  # two or three bits of each byte in a stretch of the filter
+    got = key_filter(spark.range(1 << 19).select(F.shiftleft(F.col("id") * 3, 64 - FILTER_BITS).alias("key")))
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits[places] = True
+    assert np.array_equal(np.unpackbits(got.view(np.uint8), bitorder="little").astype(bool), bits)
+    assert sum(t.nbytes for t in sent) < 1.1 * (3 << 19) / 8

@@ -4,11 +4,15 @@
 2. Weak-label model. Expectation-maximisation over the counted patterns (their number is bounded by the labellers, not
    by the corpus) estimates the share of good documents and each labeller's rates of either vote given the truth; it
    gives each pattern a posterior.
-3. Scorer. The posteriors of a bounded sample are the soft labels of a logistic regression on hashed features of the
-   text alone: byte trigrams with letters and digits folded, and word shapes.
+3. Scorer. The posteriors of all documents are the soft labels of a logistic regression on hashed features of the
+   text alone: byte trigrams with letters and digits folded, and word shapes. The features are written to the shared
+   folder once; each step of the fit (limited-memory BFGS) is a pass over all of them, and only sums reach the driver.
 
-A document is rejected when its score is below a threshold. The threshold is calibrated on a part of the sample that the
-weights haven't seen: half, or less where that would reject more than ``SPARED`` of the documents whose labels are good.
+A document is rejected when its score is below a threshold: half, or less where that would reject more than ``SPARED`` of
+the documents whose labels are good. For that, every document is scored by weights that haven't seen it: a hash of the text
+deals the documents into two halves, and weights learned from either half score the other one.
+
+Gradients are sums of whole numbers (units of 2**-30), so what is learned doesn't depend on partitions.
 
 Defined cases: a null text is empty; a text without words is rejected with score 0; with too few documents of one kind
 to learn from, the posterior is the score; repeated rows are judged, and learned from, as often as they stand; very long
@@ -26,14 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm import words as W
-from quillspark.llm.runtime import documents, drawn, prepare
+from quillspark.llm.runtime import Scratch, documents, prepare
 
 #: Votes; one in between is an outcome that can tell the kinds apart, one on a text too short to judge tells nothing.
 BAD, GOOD, BETWEEN, SHORT = range(4)
-#: Rows that the scorer is fitted on (a bound, drawn by hash of the id), hash buckets, passes.
-SAMPLE, BUCKETS, EPOCHS = 4_000, 1 << 14, 4
-#: Of the sample, every so manieth row is for the threshold; the share of good ones that it may reject, and its bounds.
-CALIBRATE, SPARED, THRESHOLD = 5, 0.005, (0.1, 0.5)
+#: Hash buckets, steps of the fit, weight of the penalty on squared weights (of the mean loss), steps it remembers.
+BUCKETS, STEPS, PENALTY, MEMORY = 1 << 14, 14, 1e-5, 8
+#: The share of good documents that the threshold may reject, its bounds, and its resolution.
+SPARED, THRESHOLD, BINS = 0.005, (0.1, 0.5), 10_000
+#: Gradients are counted in these units.
+UNIT = 2.0**-30
 #: Labellers by name: what they measure, a bound for bad (from it on) and one for good (up to it).
 BOUNDS = {
     "symbols": (0.10, 0.04),  # bytes that are neither letters, digits, blanks nor common punctuation
@@ -96,8 +102,8 @@ def votes(values: list[float], n_words: int) -> list[int]:
     return out
 
 
-def shape_features(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Hashed counts, scaled to length 1: folded byte trigrams, word shapes, and whether words repeat the one before."""
+def shape_counts(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Hashed counts: folded byte trigrams, word shapes, and whether words repeat the one before."""
     out = np.zeros(BUCKETS)
     if len(part) >= 3:
         c = _FOLD[part]
@@ -111,6 +117,12 @@ def shape_features(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashe
         same[1:] += hashes[1:] == hashes[:-1]
         same[2:] += 2 * (hashes[2:] == hashes[:-2])
         out += 2.0 * np.bincount(same * 7919 % BUCKETS, minlength=BUCKETS)
+    return out
+
+
+def shape_features(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The counts scaled to length 1."""
+    out = shape_counts(part, starts, ends, hashes)
     norm = np.sqrt(out @ out)
     return out / norm if norm else out
 
@@ -133,21 +145,95 @@ def pattern(part, starts, ends, hashes) -> int:
     return out
 
 
-def labelled(batches):
-    for batch in batches:
-        got = [pattern(*x) for _, *x in texts(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([pa.array(got, pa.int32())], names=["pattern"])
+def counted_features(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets in ascending order, and their counts."""
+    f = shape_counts(part, starts, ends, hashes)
+    where = np.flatnonzero(f)
+    return where, f[where]
 
 
-def sampled(batches):
+def labelled(batches):
+    """(text, half) -> vote pattern, half, buckets and counts of each text, as bytes."""
     for batch in batches:
-        at, value, got = [], [], []
-        place = batch.column(1)
+        got, at, n = [], [], []
         for _, *x in texts(batch.column(0)):
-            f = shape_features(*x)
-            where = np.flatnonzero(f)
-            at.append(where.astype(np.int32)), value.append(f[where]), got.append(pattern(*x))
-        yield pa.RecordBatch.from_arrays([W.lists(at, np.int32), W.lists(value, np.float64), pa.array(got, pa.int32()), place], names=["at", "value", "pattern", "place"])
+            where, counts = counted_features(*x)
+            got.append(pattern(*x)), at.append(where.astype("<u2").tobytes()), n.append(counts.astype("<u4").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(got, pa.int32()), batch.column(1), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["pattern", "half", "at", "n"])
+
+
+LABELLED_SQL = "pattern int, half int, at binary, n binary"
+
+
+def joined(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of a binary column, and how many each row has."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return flat.view(kind), np.diff(ends) // np.dtype(kind).itemsize
+
+
+def rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Patterns and halves of a batch; for each bucket of each row, the row, the bucket and the feature."""
+    at, sizes = joined(batch.column(2), "<u2")
+    n, _ = joined(batch.column(3), "<u4")
+    owner = np.repeat(np.arange(len(batch)), sizes)
+    n = n.astype(np.float64)
+    norm = np.sqrt(np.bincount(owner, n * n, len(batch)))
+    return batch.column(0).to_numpy(), batch.column(1).to_numpy(), owner, at.astype(np.int64), n / norm[owner]
+
+
+def chances(w: np.ndarray, owner: np.ndarray, at: np.ndarray, x: np.ndarray, rows: int) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[at] * x, rows) + w[-1], -30, 30)))
+
+
+def halves(model: int, half: np.ndarray) -> np.ndarray:
+    """Whether a row is for a model to learn from: model 2 learns from all rows, 0 and 1 from one half each."""
+    return np.ones(len(half), bool) if model == 2 else half == model
+
+
+def gradients(shared):
+    """Labelled rows -> sums over a task's rows, in units: (model, bucket, sum); bucket BUCKETS is the intercept, the next one the loss.
+
+    The values are the weights of each model and, by vote pattern, the posterior and the share of good.
+    """
+
+    def run(batches):
+        models, known, share = shared.value
+        total = np.zeros((3, BUCKETS + 2), np.int64)
+        for batch in batches:
+            patterns, half, owner, at, x = rows_of(batch)
+            y = np.array([known[p] for p in patterns.tolist()])
+            kinds = (y / share + (1 - y) / (1 - share)) / 2
+            for model, w in models.items():
+                use = halves(model, half)
+                p = chances(w, owner, at, x, len(batch))
+                g = np.where(use, (p - y) * kinds, 0.0)
+                total[model, :BUCKETS] += np.bincount(at, np.rint(g[owner] * x / UNIT), BUCKETS).astype(np.int64)
+                total[model, BUCKETS] += np.rint(g / UNIT).astype(np.int64).sum()
+                loss = -np.where(use, (y * np.log(p) + (1 - y) * np.log1p(-p)) * kinds, 0.0)
+                total[model, BUCKETS + 1] += np.rint(loss / UNIT).astype(np.int64).sum()
+        m, k = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(m.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(total[m, k])], names=["model", "bucket", "sum"])
+
+    return run
+
+
+def unseen_scores(shared):
+    """Labelled rows -> (bin, n): how many good rows have a score in each bin, by the weights of the other half."""
+
+    def run(batches):
+        models, known, _ = shared.value
+        total = np.zeros(BINS + 1, np.int64)
+        for batch in batches:
+            patterns, half, owner, at, x = rows_of(batch)
+            good = np.array([known[p] >= 0.5 for p in patterns.tolist()], bool)
+            p = np.where(half == 0, *(chances(models[m], owner, at, x, len(batch)) for m in (1, 0)))
+            total += np.bincount((p[good] * BINS).astype(np.int64), minlength=BINS + 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bin", "n"])
+
+    return run
 
 
 def unpack_votes(patterns: np.ndarray) -> np.ndarray:
@@ -176,31 +262,74 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return post, prior, rates
 
 
-def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = EPOCHS) -> np.ndarray:
-    """Logistic regression with soft labels and adaptive steps; kinds weigh alike. The last weight is the intercept."""
-    w, seen = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-6)
-    share = np.clip(np.mean([y for *_, y in rows]), 0.05, 0.95)
-    rng = np.random.Generator(np.random.PCG64(3))
-    for _ in range(epochs):
-        for k in rng.permutation(len(rows)):
-            at, x, y = rows[k]
-            p = 1 / (1 + np.exp(-np.clip(w[at] @ x + w[-1], -30, 30)))
-            g = (p - y) * (y / share + (1 - y) / (1 - share)) / 2
-            step = g * x + 1e-5 * w[at]
-            seen[at] += step * step
-            seen[-1] += g * g
-            w[at] -= 0.5 * step / np.sqrt(seen[at])
-            w[-1] -= 0.5 * g / np.sqrt(seen[-1])
-    return w
-
+class Descent:
+    """Limited-memory BFGS of one model, a step for each pass over the rows. The last weight is the intercept."""
 
-def threshold(w: np.ndarray, held: list[tuple[np.ndarray, np.ndarray, float]]) -> float:
-    """The score that a document must reach."""
-    good = [1 / (1 + np.exp(-np.clip(w[at] @ x + w[-1], -30, 30))) for at, x, y in held if y >= 0.5]
-    return float(np.clip(np.quantile(good, SPARED), *THRESHOLD)) if good else THRESHOLD[1]
+    def __init__(self, rows: int):
+        self.rows, self.w = rows, np.zeros(BUCKETS + 1)
+        self.base: tuple[float, np.ndarray, np.ndarray] | None = None  # loss, gradient and weights of the best point
+        self.past: list[tuple[np.ndarray, np.ndarray]] = []
+        self.step = np.zeros(BUCKETS + 1)
 
-
-def quality(docs: DataFrame, sample: int = SAMPLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    def direction(self, g: np.ndarray) -> np.ndarray:
+        d, used = g.copy(), []
+        for s, y in reversed(self.past):
+            used.append((s @ d) / (s @ y))
+            d -= used[-1] * y
+        if self.past:
+            s, y = self.past[-1]
+            d *= (s @ y) / (y @ y)
+        else:
+            d *= 2.0  # a row's curvature is a quarter at most, with the intercept a half
+        for (s, y), a in zip(self.past, reversed(used), strict=True):
+            d += (a - (y @ d) / (s @ y)) * s
+        return -d
+
+    def advance(self, sums: np.ndarray) -> None:
+        """From the sums at ``w``: go on, or back half of the way where the loss has grown."""
+        w = self.w
+        g = sums[:-1] * (UNIT / self.rows)
+        g[:-1] += PENALTY * w[:-1]
+        loss = sums[-1] * (UNIT / self.rows) + PENALTY / 2 * (w[:-1] @ w[:-1])
+        if self.base and loss > self.base[0]:
+            self.step = self.step / 2
+            self.w = self.base[2] + self.step
+            return
+        if self.base:
+            s, y = w - self.base[2], g - self.base[1]
+            if s @ y > 1e-12:
+                self.past = [*self.past, (s, y)][-MEMORY:]
+        self.base = loss, g, w
+        self.step = self.direction(g)
+        self.w = w + self.step
+
+
+def fit_scorers(rows: DataFrame, known: dict[int, float], share: float, sizes: list[int]) -> dict[int, np.ndarray]:
+    """The weights of models 0 and 1 (either half of the labelled rows) and 2 (all of them)."""
+    spark, found = rows.sparkSession, {m: Descent(n) for m, n in enumerate(sizes) if n}
+    for _ in range(STEPS):
+        shared = spark.sparkContext.broadcast(({m: d.w for m, d in found.items()}, known, share))
+        sums = rows.mapInArrow(gradients(shared), "model int, bucket int, sum long").groupBy("model", "bucket").agg(F.sum("sum").alias("sum")).toArrow()
+        total = np.zeros((3, BUCKETS + 2))
+        total[sums.column("model").to_numpy(), sums.column("bucket").to_numpy()] = sums.column("sum").to_numpy()
+        shared.destroy()
+        for m, d in found.items():
+            d.advance(total[m])
+    return {m: d.base[2] for m, d in found.items()}
+
+
+def threshold(rows: DataFrame, models: dict[int, np.ndarray], known: dict[int, float]) -> float:
+    """The score that a document must reach: the highest bin's edge below which there are at most ``SPARED`` of all good rows."""
+    if not {0, 1} <= models.keys():
+        return THRESHOLD[1]
+    shared = rows.sparkSession.sparkContext.broadcast((models, known, None))
+    bins = {r.bin: r.n for r in rows.mapInArrow(unseen_scores(shared), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
+    shared.destroy()
+    below = np.cumsum([bins.get(k, 0) for k in range(BINS + 1)])
+    return float(np.clip(np.searchsorted(below, SPARED * below[-1], "right") / BINS, *THRESHOLD)) if below[-1] else THRESHOLD[1]
+
+
+def quality(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``doc_id, score, posterior, votes, keep`` and the columns to carry: one row per document.
 
     ``score`` is the scorer's chance of good (0 to 1), ``posterior`` the weak-label model's, ``votes`` the labellers' as
@@ -210,19 +339,20 @@ def quality(docs: DataFrame, sample: int = SAMPLE, carry: tuple[str, ...] = ())
     prepare(spark)
     docs = documents(docs, "doc_id", "text", *[c for c in carry if c != "text"])
     carried = [docs.columns.index(c) for c in carry]
-    texts_only = docs.select("doc_id", "text")
-    counted = sorted(texts_only.select("text").mapInArrow(labelled, "pattern int").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect())
+    scratch = Scratch(spark)
+    half = F.pmod(F.xxhash64("text", F.lit("quality")), F.lit(2)).cast("int").alias("half")
+    rows = scratch.save(docs.select("text", half).mapInArrow(labelled, LABELLED_SQL), "labelled")
+    counted = sorted(rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("half").alias("second")).collect())
     patterns, counts = np.array([r.pattern for r in counted], np.int64), np.array([r.n for r in counted], float)
     posterior, _, _ = expectation_maximisation(patterns, counts) if len(patterns) else (np.zeros(0), 0.0, None)
     known = dict(zip(patterns.tolist(), posterior.tolist(), strict=True))
-    got = drawn(texts_only, int(counts.sum()), sample, "quality").select("text", "place").mapInArrow(sampled, "at array<int>, value array<double>, pattern int, place long").toArrow()
-    got = got.sort_by([("place", "ascending")])  # what is learned doesn't depend on partitions
-    rows = [(at.values.to_numpy(), x.values.to_numpy(), known[p]) for at, x, p in zip(got.column("at"), got.column("value"), got.column("pattern").to_pylist(), strict=True)]
-    bad = sum(y < 0.5 for *_, y in rows)
+    total, second, bad = (sum(x) for x in zip(*((r.n, r.second, r.n * (known[r.pattern] < 0.5)) for r in counted), strict=True)) if counted else (0, 0, 0)
     learned, least = None, THRESHOLD[1]
-    if min(bad, len(rows) - bad) >= 5:
-        learned = fit_scorer([r for k, r in enumerate(rows) if k % CALIBRATE])
-        least = threshold(learned, rows[::CALIBRATE])
+    if min(bad, total - bad) >= 5:
+        share = float(np.clip(posterior @ counts / total, 0.05, 0.95))
+        models = fit_scorers(rows, known, share, [total - second, second, total])
+        learned, least = models[2], threshold(rows, models, known)
+    scratch.drop("labelled")
     shared = spark.sparkContext.broadcast((known, learned, least))
     names = [f"c{k}" for k in range(len(docs.columns))]
 

@@ -7,6 +7,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillspark.llm.chat_format import format_conversations, parse
@@ -53,6 +54,23 @@ def test_quality_does_not_depend_on_partitions(spark):
     assert show(df.repartition(2)) == show(df.repartition(7, "text"))
 
 
+def unlike_any_of_a_few_thousand(spark):
+    """More rows than 4,000, and the ids of those of a kind that no row has which a draw of 4,000 by hash took."""
+    rng = random.Random(9)
+    rows = [(k, prose(rng, 4)) for k in range(4500)] + [(5000 + k, junk(rng, k % 3)) for k in range(90)]
+    repeats = spark.createDataFrame([(10_000 + k, junk(rng, 3)) for k in range(400)], "doc_id long, text string")
+    place = F.xxhash64("doc_id", "text", F.lit("quality"))
+    rare = [(r.doc_id, r.text) for r in repeats.filter(place > (1 << 63) - (1 << 60)).collect()]  # the last 16th of the hashes
+    assert len(rare) >= 10
+    return spark.createDataFrame(rows + rare, "doc_id long, text string"), {i for i, _ in rare}
+
+
+def test_quality_learns_from_every_document(spark):
+    df, rare = unlike_any_of_a_few_thousand(spark)
+    got = [r for r in quality(df).collect() if r.doc_id in rare]
+    assert len(got) == len(rare) and all(r.score < 0.5 and not r.keep for r in got)
+
+
 def test_quality_against_labels(spark):
     sf = "/root/testdata/sf0.01"
     got = quality(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()

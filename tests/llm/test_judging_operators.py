@@ -224,6 +224,12 @@ def test_nested_quotes_are_parsed():
     assert parse("A wrote:\n> one\n> two\n>> deep\n> back\nown\n\nB writes:\n> other") == ("own", [(1, "one\ntwo"), (2, "deep"), (1, "back"), (1, "other")])
 
 
+def test_pipeline_rejects_what_only_a_few_documents_show(spark):
+    df, rare = unlike_any_of_a_few_thousand(spark)
+    kept = {r.doc_id for r in corpus_pipeline.quality_filter(spark, df, "").select("doc_id").collect()}
+    assert not kept & rare and len(kept & set(range(4500))) >= 0.99 * 4500
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     rng = random.Random(9)
     item = " ".join(rng.choice(WORDS) for _ in range(20))

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.pretokens import pieces, read_file
-from quillspark.llm.runtime import Scratch, documents, prepare
+from quillspark.llm.runtime import Scratch, documents, give_back, prepare, trimmed
 from quillspark.llm.token_counts import splitter
 
 #: The least integer that takes five bytes in a list.
@@ -37,7 +38,9 @@ LONG = 192 + 63 * 256
 BLOCK, TOGETHER = 32 << 20, 64
 #: Word groups, at least and at most, and the bytes of text for each between; a block's words fall into all of them.
 GROUPS, GROUP_BYTES = (512, 8192), 64 << 20
-#: Encoded words that a task keeps; more than one group's distinct words seldom exceed it, and then words are encoded again.
+#: Stored rows that leave a task at once.
+STORED = 64
+#: Encoded words of one group that a task keeps; a group's distinct words seldom exceed it, and then words are encoded again.
 KNOWN = 1_000_000
 
 
@@ -75,23 +78,29 @@ class _Local(dict):
 
 
 def block_rows(name: str, ids: list, texts: list[np.ndarray], local: dict[str, int], groups: int):
-    """The stored rows of one block: its texts' positions, then its words by group."""
+    """The stored rows of one block: its texts' positions, then its words by group. Takes the texts out of the list as they are stored."""
     n = len(local)
-    counts = np.bincount(np.concatenate(texts), minlength=n) if n else np.zeros(0, np.int64)
+    counts = np.zeros(n, np.int64)
+    for x in texts:
+        np.add.at(counts, x.astype(np.int64), 1)
     order = np.argsort(-counts, kind="stable")
     rank = np.empty(n, np.uint32)
     rank[order] = np.arange(n, dtype=np.uint32)
+    del counts, order
     for i in range(0, len(texts), TOGETHER):
         part = texts[i : i + TOGETHER]
+        texts[i : i + TOGETHER] = [None] * len(part)
         flat = np.concatenate(part)
         yield name, None, ids[i : i + TOGETHER], [len(x) for x in part], pack(rank[flat] if n else flat), None
     words = sorted(local)
     group = groups_of(words, groups)
-    for g in np.unique(group):
-        mine = [words[k] for k in np.flatnonzero(group == g)]
+    place = np.argsort(group, kind="stable")
+    met, first = np.unique(group[place], return_index=True)
+    for g, at in zip(met.tolist(), np.split(place, first[1:]), strict=True) if n else ():
+        mine = [words[k] for k in at]
         where = rank[np.fromiter((local[w] for w in mine), np.int64, len(mine))]
         blob = zstandard.ZstdCompressor(level=3).compress("\n".join(mine).encode())
-        yield name, int(g), None, None, pack(where), blob
+        yield name, g, None, None, pack(where), blob
 
 
 def to_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -109,9 +118,9 @@ def split_blocks(file, groups: int):
 
         def flush():
             name = f"{task.partitionId()}-{number}"
-            rows = list(block_rows(name, ids, texts, local, groups))
-            for i in range(0, len(rows), 256):
-                yield to_batch(rows[i : i + 256])
+            rows = block_rows(name, ids, texts, local, groups)
+            while some := list(islice(rows, STORED)):
+                yield to_batch(some)
 
         for batch in batches:
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -130,23 +139,23 @@ def split_blocks(file, groups: int):
 
 
 def encode_words(file):
-    """(block, positions, words) rows of whole word groups -> (block, positions, counts and ids), every distinct word encoded once."""
+    """(word_group, block, positions, words) rows of whole word groups, group by group -> (block, positions, counts and ids), every distinct word encoded once."""
 
     def run(batches):
-        split, known = splitter(file.value), {}
+        split, known, group = splitter(file.value), {}, None
         for batch in batches:
             blocks, places, counts, ids = [], [], [], []
-            for block, where, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for g, block, where, blob in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 words = zstandard.ZstdDecompressor().decompress(blob).decode().split("\n")
-                if len(known) + len(words) > KNOWN:
+                if g != group or len(known) + len(words) > KNOWN:
                     known.clear()
+                group = g
                 for w in words:
                     if w not in known:
-                        known[w] = np.array(split.encode(w), np.uint32)
+                        known[w] = np.array(split.encode(w), np.uint32).tobytes()
                 mine = [known[w] for w in words]
-                flat = np.concatenate(mine)
                 blocks.append(block), places.append(where)
-                counts.append(pack(np.fromiter(map(len, mine), np.uint32, len(mine)))), ids.append(pack(flat))
+                counts.append(pack(np.fromiter(map(len, mine), np.uint32, len(mine)) // np.uint32(4))), ids.append(pack(np.frombuffer(b"".join(mine), np.uint32)))
             yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(places, pa.binary()), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], names=["block", "positions", "counts", "ids"])
 
     return run
@@ -178,7 +187,9 @@ def join_back(names):
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def table(key, left, right):
-        return pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=schema) for b in run(key, left, right)], schema=schema)
+        out = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=schema) for b in run(key, left, right)], schema=schema)
+        give_back()
+        return out
 
     return table
 
@@ -202,9 +213,9 @@ def bpe_encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     docs = documents(docs, "doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = min(max(size // GROUP_BYTES, GROUPS[0]), GROUPS[1])
-    split = scratch.save(docs.mapInArrow(split_blocks(file, groups), SPLIT_SQL), "blocks")
-    asked = split.filter("word_group is not null").select("word_group", "block", "positions", "words").repartition("word_group").select("block", "positions", "words")
-    answered = asked.mapInArrow(encode_words(file), "block string, positions binary, counts binary, ids binary")
+    split = scratch.save(docs.mapInArrow(trimmed(split_blocks(file, groups)), SPLIT_SQL), "blocks")
+    asked = split.filter("word_group is not null").select("word_group", "block", "positions", "words").repartition("word_group").sortWithinPartitions("word_group")
+    answered = asked.mapInArrow(trimmed(encode_words(file)), "block string, positions binary, counts binary, ids binary")
     texts = split.filter("word_group is null").select("block", "rows", "sizes", "positions")
     return texts.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(join_back(names), "doc_id long, ids array<int>, decoded string")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import words as W
-from quillspark.llm.runtime import Scratch, documents, prepare
+from quillspark.llm.runtime import Scratch, documents, prepare, trimmed
 
 #: Bits that may differ, blocks of 16 bits, and bits turned on the items' side; items searched at a time (their index is
 #: what is broadcast). One word changed in an item of 14 turns 15 bits at the mean, 4 standard deviations below the radius.
@@ -241,6 +241,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold:
         index = Index(rows.column("item_id").to_pylist(), rows.column("text").combine_chunks(), n, known, total)
         if not index.items:
             continue
-        found = docs.mapInArrow(searcher(spark.sparkContext.broadcast(index), threshold), OUT_SQL)
+        found = docs.mapInArrow(trimmed(searcher(spark.sparkContext.broadcast(index), threshold)), OUT_SQL)
         out = found if out is None else out.union(found)
     return spark.createDataFrame([], OUT_SQL) if out is None else out

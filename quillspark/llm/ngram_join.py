@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import words as W
 from quillspark.llm.components import components
-from quillspark.llm.runtime import Scratch, documents, prepare, small
+from quillspark.llm.runtime import Scratch, documents, prepare, small, trimmed
 
 #: Fragments of the order in which partial overlaps are counted.
 FRAGMENTS = 64
@@ -183,7 +183,7 @@ def marked(batches):
 def key_filter(often: DataFrame) -> np.ndarray:
     """One bit for each value of the first FILTER_BITS bits of a key, packed by executors: the driver gets these bits and no more."""
     place = often.select(F.shiftrightunsigned("key", 64 - FILTER_BITS).cast("int").alias("place"))
-    packed = place.repartition(F.floor(F.col("place") / (8 * PIECE_BYTES))).mapInArrow(marked, "piece int, bits binary").toArrow()
+    packed = place.repartition(F.floor(F.col("place") / (8 * PIECE_BYTES))).mapInArrow(trimmed(marked), "piece int, bits binary").toArrow()
     out = np.zeros(1 << (FILTER_BITS - 3), np.uint8).reshape(-1, PIECE_BYTES)
     for batch in packed.to_batches():
         for k, bits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -321,7 +321,7 @@ class Join:
 
     def of_nodes(self, nodes: DataFrame, maker, schema: str) -> DataFrame:
         """What ``maker`` makes of the sets' texts, one row for each of ``nodes``."""
-        rows = self.texts(nodes).mapInArrow(maker, schema)
+        rows = self.texts(nodes).mapInArrow(trimmed(maker), schema)
         return rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]) if self.repeated else rows
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -365,7 +365,7 @@ class Join:
         keys = rows.select(F.explode("classes.keys").alias("keys")).select(F.explode("keys").alias("key"))
         often = self.scratch.save(keys.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "often")
         passes = self.spark.sparkContext.broadcast(key_filter(often))
-        kept = rows.select("node", "classes").mapInArrow(passing(passes), KEPT_SQL).select("node", "class", "need", "parts", F.explode("keys").alias("key"))
+        kept = rows.select("node", "classes").mapInArrow(trimmed(passing(passes)), KEPT_SQL).select("node", "class", "need", "parts", F.explode("keys").alias("key"))
         shared = kept.join(often, "key").repartition("node", "class").dropDuplicates(["node", "class", "key"])
         one = Window.partitionBy("node", "class")
         rank = F.col("parts") - F.count(F.lit(1)).over(one) + F.row_number().over(one.orderBy("held", "key"))
@@ -415,7 +415,7 @@ class Join:
 
     def run(self) -> DataFrame:
         save, scratch = self.scratch.save, self.scratch
-        rows = save(self.docs.mapInArrow(parsed(self.n, self.t), PARSED_SQL), "parsed")
+        rows = save(self.docs.mapInArrow(trimmed(parsed(self.n, self.t)), PARSED_SQL), "parsed")
         with_set = rows.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "node")
         self.sets = save(with_set.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("held")), "nodes")
         ids = save(with_set.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("a")).filter("rows > 1"), "repeated")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm import words as W
-from quillspark.llm.runtime import Scratch, documents, prepare
+from quillspark.llm.runtime import Scratch, documents, prepare, trimmed
 
 #: Votes; one in between is an outcome that can tell the kinds apart, one on a text too short to judge tells nothing.
 BAD, GOOD, BETWEEN, SHORT = range(4)
@@ -341,7 +341,7 @@ def quality(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     carried = [docs.columns.index(c) for c in carry]
     scratch = Scratch(spark)
     half = F.pmod(F.xxhash64("text", F.lit("quality")), F.lit(2)).cast("int").alias("half")
-    rows = scratch.save(docs.select("text", half).mapInArrow(labelled, LABELLED_SQL), "labelled")
+    rows = scratch.save(docs.select("text", half).mapInArrow(trimmed(labelled), LABELLED_SQL), "labelled")
     counted = sorted(rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("half").alias("second")).collect())
     patterns, counts = np.array([r.pattern for r in counted], np.int64), np.array([r.n for r in counted], float)
     posterior, _, _ = expectation_maximisation(patterns, counts) if len(patterns) else (np.zeros(0), 0.0, None)
@@ -375,4 +375,4 @@ def quality(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
     schema = T._parse_datatype_string("score double, posterior double, votes string, keep boolean")
     fields = [T.StructField("id", docs.schema.fields[0].dataType), *schema.fields, *[T.StructField(names[k], docs.schema.fields[k].dataType) for k in carried]]
-    return docs.toDF(*names).mapInArrow(run, T.StructType(fields)).toDF("doc_id", *RESULT, *carry)
+    return docs.toDF(*names).mapInArrow(trimmed(run), T.StructType(fields)).toDF("doc_id", *RESULT, *carry)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.runtime import documents, prepare
+from quillspark.llm.runtime import documents, prepare, trimmed
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -198,7 +198,7 @@ def secret_scan(docs: DataFrame, min_log10_guesses: float = 9.0, carry: tuple[st
     names = [f"c{k}" for k in range(len(docs.columns))]
     fields = [T.StructField(name, f.dataType) for name, f in zip(names, docs.schema.fields, strict=True)]
     plain = docs.toDF(*names)
-    found = plain.mapInArrow(scanner(min_log10_guesses, ranks), T.StructType([*fields, T.StructField("spans", T._parse_datatype_string(SPANS_SQL))]))
+    found = plain.mapInArrow(trimmed(scanner(min_log10_guesses, ranks)), T.StructType([*fields, T.StructField("spans", T._parse_datatype_string(SPANS_SQL))]))
     return found.toDF(*docs.columns, "spans")
 
 

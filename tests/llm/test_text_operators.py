@@ -2,20 +2,24 @@
 
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillspark.llm.bpe_codec import bpe_decode, bpe_encode, pack, unpack
+from quillspark.llm import bpe_codec
+from quillspark.llm.bpe_codec import block_rows, bpe_decode, bpe_encode, encode_words, pack, unpack
 from quillspark.llm.components import components
 from quillspark.llm.fingerprints import edited_fingerprints, fingerprints, likeness, locate_edits, merkle, parsed
 from quillspark.llm.language_id import language_id
 from quillspark.llm.ngram_join import FILTER_BITS, key_filter, ngram_jaccard_join
 from quillspark.llm.pretokens import Splitter, read_file
-from quillspark.llm.runtime import Scratch
+from quillspark.llm.runtime import Scratch, trimmed
 from quillspark.llm.secrets import log10_guesses, ranked, redacted, scan, secret_scan, segments, uncovered, written
 from quillspark.llm.substring_dedup import matches, parse, substring_dedup
 from quillspark.llm.token_counts import Lengths, token_counts
@@ -179,6 +183,46 @@ def test_token_counts_and_codec_equal_the_library(spark, docs):
     assert token_counts(docs.limit(0), TOKENIZER).count() == 0 and bpe_encode(docs.limit(0), TOKENIZER).count() == 0
 
 
+def test_codec_lets_go_of_what_is_stored():
+    """Texts of a block as they are stored; words of a group when the next one comes."""
+    texts = [np.array([0, 1, 1], np.uint32) for _ in range(200)]
+    rows = block_rows("0-0", list(range(200)), texts, {"b": 0, "a": 1}, 8)
+    first = next(rows)
+    assert texts[0] is None and texts[-1] is not None and unpack(first[4]).tolist()[:3] == [1, 0, 0]
+    assert sorted(w for *_, blob in rows if blob for w in zstandard.ZstdDecompressor().decompress(blob).decode().split("\n")) == ["a", "b"]
+
+
+def test_codec_keeps_the_words_of_one_group(monkeypatch):
+    split, met = Splitter(read_file(TOKENIZER)), []
+    monkeypatch.setattr(bpe_codec, "splitter", lambda file: SimpleNamespace(encode=lambda w: met.append(w) or split.encode(w)))
+    asked = [(1, "x", "one\nunheardofword"), (1, "y", "one"), (2, "x", "two"), (3, "x", "one")]
+    group, block, words = zip(*asked, strict=True)
+    places = [pack(np.arange(len(w.split()), dtype=np.uint32)) for w in words]
+    batch = pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(block), pa.array(places), pa.array([zstandard.compress(w.encode()) for w in words])], names=["word_group", "block", "positions", "words"])
+    (out,) = encode_words(SimpleNamespace(value=""))([batch])
+    assert met == ["one", "unheardofword", "two", "one"] and out.column("block").to_pylist() == list(block)
+    assert [unpack(x).tolist() for x in out.column("ids").to_pylist()] == [[i for w in ws.split() for i in split.encode(w)] for ws in words]
+    assert [unpack(x).tolist() for x in out.column("counts").to_pylist()] == [[len(split.encode(w)) for w in ws.split()] for ws in words]
+
+
+def test_trimmed_workers_give_memory_back():
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"\nAnonymous:\s+(\d+)", f.read())[1]) / 1024
+
+    pins = []
+
+    def run(batches):
+        for n in batches:
+            many = [bytearray(2000) for _ in range(n)]
+            pins.append(bytearray(2000))  # keeps the end of the heap in use
+            yield len(many)
+
+    before = held()
+    assert list(trimmed(run)([50_000])) == [50_000]
+    assert held() < before + 50  # 100 MB are free again
+
+
 def test_splitter_equals_the_library():
     """Every character below U+0300 alone and between letters, and random strings of them."""
     split, library = Splitter(read_file(TOKENIZER)), Tokenizer.from_file(TOKENIZER)

@@ -223,6 +223,24 @@ def test_trimmed_workers_give_memory_back():
     assert held() < before + 50  # 100 MB are free again
 
 
+def test_driver_gives_memory_back_with_each_table(spark):
+    jvm, scratch = spark._jvm, Scratch(spark)
+
+    def held():
+        with open(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup") as f:
+            return int(re.search(r"\nAnonymous:\s+(\d+)", f.read())[1]) / 1024
+
+    scratch.save(spark.range(10), "first")
+    jvm.java.util.zip.Deflater().end()  # from then on, malloc keeps blocks of such a size when they are freed
+    native = [jvm.java.util.zip.Deflater() for _ in range(1000)]  # 128 KB each that are written to, outside the heap
+    for k, x in enumerate(native):
+        if k % 20:  # the others keep the pages between in use
+            x.end()
+    before = held()
+    assert scratch.save(spark.range(10), "second").count() == 10
+    assert held() < before  # though the table itself takes memory
+
+
 def test_splitter_equals_the_library():
     """Every character below U+0300 alone and between letters, and random strings of them."""
     split, library = Splitter(read_file(TOKENIZER)), Tokenizer.from_file(TOKENIZER)

@@ -311,7 +311,7 @@ class Join:
     def __init__(self, docs: DataFrame, n: int, threshold: int, counts: bool):
         self.spark = docs.sparkSession
         prepare(self.spark)
-        self.scratch, self.docs, self.n, self.t = Scratch(self.spark), documents(docs, "doc_id", "text"), n, threshold
+        self.scratch, self.docs, self.n, self.t = Scratch(self.spark, measured=True), documents(docs, "doc_id", "text"), n, threshold
         self.counts = counts
 
     def texts(self, nodes: DataFrame) -> DataFrame:
@@ -439,7 +439,7 @@ class Join:
         links_ = F.coalesce("near", F.lit(0)) + F.col("held") - 1 if self.counts else F.lit(None).cast("long")
         named = save(whole.join(least, "label").select("node", "component_id", links_.alias("n_links")), "found")
         linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-        out = rows.select(F.col("doc_id"), "n_shingles", F.when(linked, F.col("node")).alias("node")).join(named, "node", "left")
+        out = rows.select(F.col("doc_id"), "n_shingles", F.when(linked, F.col("node")).alias("node")).join(named.hint("merge"), "node", "left")
         return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0 if self.counts else None).cast("long")).alias("n_links"))
 
 

@@ -75,14 +75,33 @@ def driver_gives_back(spark: SparkSession) -> None:
         invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), arguments)
 
 
+@contextlib.contextmanager
+def measured_broadcasts(spark: SparkSession):
+    """Inside, a side without a hint is broadcast only for a size that a shuffle has measured.
+
+    Spark's estimates start from the bytes of compressed files and don't know how long arrays are, so a side that explodes
+    some can be hundreds of times larger than its estimate; all of it would go through the driver.
+    """
+    fixed, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {fixed: spark.conf.get(fixed), measured: spark.conf.get(measured, None)}
+    try:
+        spark.conf.set(measured, before[measured] or before[fixed])
+        spark.conf.set(fixed, "-1")
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors.
 
     A table goes with ``drop`` or when the driver's JVM ends. With each, the driver gives back what it no longer needs.
+    ``measured``: as its tables are made, sides are broadcast as in ``measured_broadcasts``.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, measured: bool = False):
+        self.spark, self.measured = spark, measured
         self.root = f"{shared_folder(spark)}/quillspark-{uuid.uuid4().hex}"
         jvm = spark.sparkContext._jvm
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
@@ -92,7 +111,8 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "zstd").parquet(path)
+        with measured_broadcasts(self.spark) if self.measured else contextlib.nullcontext():
+            df.write.option("compression", "zstd").parquet(path)
         driver_gives_back(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -17,7 +17,7 @@ from quillspark.llm.bpe_codec import block_rows, bpe_decode, bpe_encode, encode_
 from quillspark.llm.components import components
 from quillspark.llm.fingerprints import edited_fingerprints, fingerprints, likeness, locate_edits, merkle, parsed
 from quillspark.llm.language_id import language_id
-from quillspark.llm.ngram_join import FILTER_BITS, key_filter, ngram_jaccard_join
+from quillspark.llm.ngram_join import FILTER_BITS, Join, key_filter, ngram_jaccard_join
 from quillspark.llm.pretokens import Splitter, read_file
 from quillspark.llm.runtime import Scratch, trimmed
 from quillspark.llm.secrets import log10_guesses, ranked, redacted, scan, secret_scan, segments, uncovered, written
@@ -442,3 +442,27 @@ def test_the_filter_of_shared_keys_reaches_the_driver_as_bits(spark, monkeypatch
     bits[places] = True
     assert np.array_equal(np.unpackbits(got.view(np.uint8), bitorder="little").astype(bool), bits)
     assert sum(t.nbytes for t in sent) < 1.1 * (3 << 19) / 8
+
+
+def test_the_join_broadcasts_no_side_that_is_small_in_its_file_only(spark):
+    """400 rows in a file of some KB explode to 80,000, several MB, of which the driver would get all."""
+    fixed = "spark.sql.autoBroadcastJoinThreshold"
+    before, store = spark.conf.get(fixed), spark._jsparkSession.sharedState().statusStore()
+
+    def broadcasts(scratch, name):
+        rows = Scratch(spark).save(spark.range(0, 400, 1, 1).select(F.col("id").alias("a"), F.sequence(F.lit(1), F.lit(200)).alias("ks")), "rows")
+        exploded = rows.select("a", F.explode("ks").alias("k"))
+        out = scratch.save(exploded.join(Scratch(spark).save(spark.range(100_000).select((F.col("id") % 500).alias("a"), (F.col("id") % 7).cast("int").alias("k")), "others"), ["a", "k"]), name)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        run = store.executionsList().last()
+        assert out.count() == exploded.join(spark.range(100_000).selectExpr("id % 500 AS a", "CAST(id % 7 AS int) AS k"), ["a", "k"]).count() > 0
+        assert f"/{name}-" in run.physicalPlanDescription()
+        return run.physicalPlanDescription().split("== Initial Plan ==")[0].count("BroadcastExchange")
+
+    try:
+        spark.conf.set(fixed, "64k")
+        join = Join(spark.createDataFrame([], "doc_id long, text string"), 5, 80, False)
+        assert broadcasts(Scratch(spark), "plain") and not broadcasts(join.scratch, "measured")
+        assert spark.conf.get(fixed) == "64k" and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
+    finally:
+        spark.conf.set(fixed, before)

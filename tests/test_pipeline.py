@@ -1,6 +1,7 @@
 """Stages, accumulators and lookups on small collections."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.errors import QueryError
 from quillspark.plans.pipeline import run_pipeline
@@ -181,3 +182,20 @@ def test_any_stage_in_a_correlated_lookup(spark):
         with pytest.raises(QueryError) as e:
             inner(bad)
         assert e.value.code == code
+
+
+def test_skip_takes_no_task_for_all_rows(spark):
+    n = 20_000
+    df = spark.range(0, n, 1, 8).select((F.col("id") * 7919 % n).alias("k"), (F.col("id") % 3).alias("same"), F.concat(F.lit("x"), F.col("id")).alias("text"))
+    found = run_pipeline(df, [{"$sort": {"k": 1}}, {"$skip": 100}, {"$project": {"k": 1}}])
+    assert found.columns == ["k"] and [r.k for r in found.collect()] == list(range(100, n))
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r.k for r in run_pipeline(df, [{"$sort": {"k": -1}}, {"$skip": 12_345}]).collect()] == list(range(n - 12_346, -1, -1))
+    ties = run_pipeline(df, [{"$sort": {"same": -1}}, {"$skip": 9_000}]).collect()  # most of the ties lie in a few tasks
+    assert len({r.text for r in ties}) == len(ties) == n - 9_000 and [r.same for r in ties] == sorted((r.same for r in ties), reverse=True)
+    assert {r.text for r in run_pipeline(df, [{"$skip": 7_000}]).collect()} == {f"x{k}" for k in range(7_000, n)}
+    assert [r.k for r in run_pipeline(df, [{"$sort": {"k": 1}}, {"$skip": 50}, {"$skip": 19_000}, {"$match": {"k": {"$lt": 19_053}}}]).collect()] == [19_050, 19_051, 19_052]
+    assert [r.k for r in run_pipeline(df, [{"$sort": {"k": 1}}, {"$skip": 5}, {"$limit": 3}]).collect()] == [5, 6, 7]
+    assert run_pipeline(df, [{"$skip": 5}, {"$sort": {"k": 1}}, {"$skip": 3}, {"$group": {"_id": None, "n": {"$sum": 1}}}]).first().n == n - 8
+    assert run_pipeline(df, [{"$sort": {"k": 1}}, {"$skip": n}]).count() == run_pipeline(df.limit(0), [{"$skip": 1}]).count() == 0
+    assert run_pipeline(df, [{"$sort": {"k": 1}}, {"$skip": 0}, {"$limit": 1}]).first().k == 0
